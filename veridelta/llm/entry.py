@@ -1,6 +1,7 @@
 """The queries of the operators of this subpackage, and their SQL where SQL can say it."""
 
 from .decontamination import op5_decontamination
+from .token_files import op2_token_files
 
-QUERIES = {"op5_decontamination": op5_decontamination}
+QUERIES = {"op2_token_files": op2_token_files, "op5_decontamination": op5_decontamination}
 ORACLE_SQL: dict[str, str] = {}
