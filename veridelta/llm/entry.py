@@ -1,7 +1,8 @@
 """The queries of the operators of this subpackage, and their SQL where SQL can say it."""
 
+from .byte_bpe import op4_byte_bpe
 from .decontamination import op5_decontamination
 from .token_files import op2_token_files
 
-QUERIES = {"op2_token_files": op2_token_files, "op5_decontamination": op5_decontamination}
+QUERIES = {"op2_token_files": op2_token_files, "op4_byte_bpe": op4_byte_bpe, "op5_decontamination": op5_decontamination}
 ORACLE_SQL: dict[str, str] = {}
