@@ -2,7 +2,8 @@
 
 from .byte_bpe import op4_byte_bpe
 from .decontamination import op5_decontamination
+from .ngram_join import op3_ngram_join
 from .token_files import op2_token_files
 
-QUERIES = {"op2_token_files": op2_token_files, "op4_byte_bpe": op4_byte_bpe, "op5_decontamination": op5_decontamination}
+QUERIES = {"op2_token_files": op2_token_files, "op3_ngram_join": op3_ngram_join, "op4_byte_bpe": op4_byte_bpe, "op5_decontamination": op5_decontamination}
 ORACLE_SQL: dict[str, str] = {}
