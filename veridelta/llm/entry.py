@@ -4,6 +4,7 @@ from .byte_bpe import op4_byte_bpe
 from .decontamination import op5_decontamination
 from .ngram_join import op3_ngram_join
 from .token_files import op2_token_files
+from .toxicity import op10_toxicity
 
-QUERIES = {"op2_token_files": op2_token_files, "op3_ngram_join": op3_ngram_join, "op4_byte_bpe": op4_byte_bpe, "op5_decontamination": op5_decontamination}
+QUERIES = {"op2_token_files": op2_token_files, "op3_ngram_join": op3_ngram_join, "op4_byte_bpe": op4_byte_bpe, "op5_decontamination": op5_decontamination, "op10_toxicity": op10_toxicity}
 ORACLE_SQL: dict[str, str] = {}
