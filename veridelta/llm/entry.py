@@ -1,5 +1,6 @@
 """The queries of the operators of this subpackage, and their SQL where SQL can say it."""
 
+from .ann import op1_ivf_pq
 from .byte_bpe import op4_byte_bpe
 from .class_lm import op6_class_lm
 from .decontamination import op5_decontamination
@@ -7,5 +8,5 @@ from .ngram_join import op3_ngram_join
 from .token_files import op2_token_files
 from .toxicity import op10_toxicity
 
-QUERIES = {"op2_token_files": op2_token_files, "op3_ngram_join": op3_ngram_join, "op4_byte_bpe": op4_byte_bpe, "op5_decontamination": op5_decontamination, "op6_class_lm": op6_class_lm, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_ivf_pq": op1_ivf_pq, "op2_token_files": op2_token_files, "op3_ngram_join": op3_ngram_join, "op4_byte_bpe": op4_byte_bpe, "op5_decontamination": op5_decontamination, "op6_class_lm": op6_class_lm, "op10_toxicity": op10_toxicity}
 ORACLE_SQL: dict[str, str] = {}
