@@ -7,9 +7,10 @@ from .decontamination import op5_decontamination
 from .licenses import op9_licenses
 from .licenses import oracle_sql as licenses_sql
 from .ngram_join import op3_ngram_join
+from .passages import op7_repeated_passages
 from .token_files import op2_token_files
 from .toxicity import op10_toxicity
 from .trie_counts import op8_trie_counts
 
-QUERIES = {"op1_ivf_pq": op1_ivf_pq, "op2_token_files": op2_token_files, "op3_ngram_join": op3_ngram_join, "op4_byte_bpe": op4_byte_bpe, "op5_decontamination": op5_decontamination, "op6_class_lm": op6_class_lm, "op8_trie_counts": op8_trie_counts, "op9_licenses": op9_licenses, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_ivf_pq": op1_ivf_pq, "op2_token_files": op2_token_files, "op3_ngram_join": op3_ngram_join, "op4_byte_bpe": op4_byte_bpe, "op5_decontamination": op5_decontamination, "op6_class_lm": op6_class_lm, "op7_repeated_passages": op7_repeated_passages, "op8_trie_counts": op8_trie_counts, "op9_licenses": op9_licenses, "op10_toxicity": op10_toxicity}
 ORACLE_SQL: dict[str, str] = {"op9_licenses": licenses_sql()}
