@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_steps
-from .pool import Pool
+from .common import text_batches, text_steps
+from .pool import Pool, joined
 
 #: Bytes of the longest pre-token that the recursive query takes.
 LONG = 255
 #: Distinct pre-tokens of one recursive query.
-QUERY_WORDS = 40_000
+QUERY_WORDS = 20_000
 _ENCODED = "doc_id long, n_tokens long, ids binary"
 
 _MERGE = """
@@ -68,27 +68,26 @@ class ByteBpe:
         self.ranks = read_ranks(path)
         self.findall = regex.compile(pattern).findall
         self.runs_of_space = re.compile(r"\s\s|[\x00\x1c-\x1f]").search
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
         rows = [((self.ranks[t[:i]] << 32) + self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         self._table("merges", pair=pa.array([r[0] for r in rows], pa.int64()), id=pa.array([r[1] for r in rows], pa.int64()))
         self._table("vocabulary", id=pa.array(list(self.ranks.values()), pa.int64()), piece=pa.array([t.decode("latin-1") for t in self.ranks]))
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
-        self.words = Pool(self._words, 600_000)
-        self.pieces = Pool(self._pieces, 400_000)
+        self.words = Pool(self._words, 300_000)
+        self.pieces = Pool(self._pieces, 300_000)
 
     def _table(self, name: str, **columns) -> None:
         self.db.register("given", pa.table(columns))
         self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def _merge(self, words: list[bytes]) -> list[np.ndarray]:
-        n = np.array([len(w) for w in words], dtype=np.int64)
+    def _merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        n = np.fromiter(map(len, words), np.int64, len(words))
         k = (np.repeat(np.arange(len(words)), n) << 8) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         self.db.register("seq", pa.table({"k": k, "id": self.byte[np.frombuffer(b"".join(words), dtype=np.uint8)]}))
         got = self.db.sql(_MERGE).to_arrow_table()
         self.db.unregister("seq")
-        ids, count = got.column(1).to_numpy(), np.bincount(got.column(0).to_numpy(), minlength=len(words))
-        return np.split(ids, np.cumsum(count)[:-1])
+        return got.column(1).to_numpy(), np.bincount(got.column(0).to_numpy(), minlength=len(words))
 
     def _heap(self, word: bytes) -> list[int]:
         parts: list[bytes | None] = [word[i : i + 1] for i in range(len(word))]
@@ -109,28 +108,28 @@ class ByteBpe:
                     heapq.heappush(heap, (rank, a, len(parts[a]) + len(parts[b])))
         return [self.ranks[p] for p in parts if p is not None]
 
-    def _words(self, words: list[str]) -> list:
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct pre-tokens."""
-        out: list = [None] * len(words)
-        rest, raw = [], []
-        for i, w in enumerate(words):
-            b = w.encode()
-            if (rank := self.ranks.get(b)) is not None:
-                out[i] = (rank,)
-            elif len(b) > LONG:
-                out[i] = self._heap(b)
-            else:
-                rest.append(i)
-                raw.append(b)
-        for at in range(0, len(rest), QUERY_WORDS):
-            for i, ids in zip(rest[at : at + QUERY_WORDS], self._merge(raw[at : at + QUERY_WORDS]), strict=True):
-                out[i] = ids
-        return out
-
-    def _pieces(self, pieces: list[str]) -> list:
-        """Ids of distinct pieces between spaces; one that begins its text is marked by \\x00."""
-        flat, counts = self.words.runs([self.findall(p[1:] if p[:1] == "\x00" else " " + p) for p in pieces])
-        return np.split(flat, np.cumsum(counts)[:-1])
+        raw = [w.encode() for w in words]
+        known = np.fromiter((self.ranks.get(b, -1) for b in raw), np.int64, len(raw))
+        long = np.fromiter(map(len, raw), np.int64, len(raw)) > LONG
+        counts, parts, at = np.ones(len(raw), dtype=np.int64), [], np.flatnonzero((known < 0) & ~long)
+        for i in range(0, len(at), QUERY_WORDS):
+            part = at[i : i + QUERY_WORDS]
+            ids, counts[part] = self._merge([raw[j] for j in part.tolist()])
+            parts.append(ids)
+        heaps = np.flatnonzero((known < 0) & long)
+        slow, counts[heaps] = joined([self._heap(raw[j]) for j in heaps.tolist()])
+        out = np.empty(int(counts.sum()), dtype=np.int64)
+        kind = np.repeat(np.where(known >= 0, 0, np.where(long, 2, 1)), counts)
+        out[kind == 0], out[kind == 2] = known[known >= 0], slow
+        if parts:
+            out[kind == 1] = np.concatenate(parts)
+        return out, counts
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces between spaces; one that begins its text is marked by \x00."""
+        return self.words.runs([self.findall(p[1:] if p[:1] == "\x00" else " " + p) for p in pieces])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids one after the other, and their numbers."""
@@ -212,21 +211,42 @@ def decode_documents(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
     return tokens.select("doc_id", "n_tokens", "ids").mapInArrow(_decoding(path, pattern, 1_500_000), _ENCODED + ", decoded binary")
 
 
-def _round_trip(docs: DataFrame) -> DataFrame:
+def _both(path: str, pattern: str):
+    def run(batches):
+        bpe = byte_bpe(path, pattern)
+        for batch in batches:
+            column = batch.column(1).cast(pa.large_string()).fill_null("")
+            for i, n, _, _ in text_steps(column):
+                flat, counts = bpe.encode(column.slice(i, n).to_pylist())
+                ids, ends = flat.astype("<u4"), np.cumsum(counts)
+                runs = [ids[e - c : e].tobytes() for c, e in zip(counts.tolist(), ends.tolist(), strict=True)]
+                decoded = [hashlib.sha256(x).hexdigest() for x in bpe.decode(flat, counts)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.array(counts, pa.int64()), pa.array(runs, pa.binary()), pa.array(decoded)], names=["doc_id", "n_tokens", "ids", "decoded_sha256"])
+
+    return run
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """encode_documents' rows with decoded_sha256, the hash of what decode_documents gives; one worker does both."""
+    text_batches(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.mapInArrow(_both(path, pattern), _ENCODED + ", decoded_sha256 string")
+
+
+def _public(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
-    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    return decode_documents(encode_documents(docs, path, pattern), path, pattern)
+    return round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = _round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    both = _public(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "decoded_sha256")
 
 
 def stage_byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' ids, and the hash of what they decode to."""
-    return _round_trip(docs).select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return _public(docs)
 
 
 def byte_bpe_brute(text: str | None, path: str, pattern: str) -> tuple[int, str, str]:

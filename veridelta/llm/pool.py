@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
@@ -10,9 +11,9 @@ from .common import ragged
 
 
 class Pool:
-    """Runs of unsigned 32-bit ids by key. When it holds more than limit keys it keeps those met again since the last time."""
+    """Runs of unsigned 32-bit ids by key; encode gives the runs of new keys one after the other, and their lengths. When it holds more than limit keys it keeps those met again since the last time."""
 
-    def __init__(self, encode: Callable[[list[str]], list], limit: int = 400_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 400_000):
         self.encode, self.limit = encode, limit
         self.index: dict[str, int] = {}
         self.again: set[str] = set()
@@ -34,12 +35,10 @@ class Pool:
         self.again |= known
         new = list(keys - known)
         if new:
-            runs = self.encode(new)
-            count = np.fromiter(map(len, runs), np.int64, len(runs))
-            flat = np.concatenate([np.asarray(r, dtype=np.uint32) for r in runs]) if count.sum() else np.zeros(0, np.uint32)
+            flat, count = self.encode(new)
             self.index.update(zip(new, range(len(self.count), len(self.count) + len(new)), strict=True))
             self.first = np.r_[self.first, len(self.flat) + np.cumsum(count) - count]
-            self.count, self.flat = np.r_[self.count, count], np.r_[self.flat, flat]
+            self.count, self.flat = np.r_[self.count, count], np.r_[self.flat, flat.astype(np.uint32)]
 
     def places(self, keys: list[str]) -> np.ndarray:
         return np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))
@@ -47,8 +46,14 @@ class Pool:
     def runs(self, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all lists of keys one after the other, and each list's number of ids."""
         self.learn(set().union(*lists))
-        at = np.concatenate([self.places(x) for x in lists]) if lists else np.zeros(0, np.int64)
+        size = np.fromiter(map(len, lists), np.int64, len(lists))
+        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(lists)), np.int64, int(size.sum()))
         count = self.count[at]
         total = np.r_[0, np.cumsum(count)]
-        ends = np.cumsum([len(x) for x in lists])
-        return self.flat[ragged(self.first[at], count)], np.diff(total[np.r_[0, ends]])
+        return self.flat[ragged(self.first[at], count)], np.diff(total[np.r_[0, np.cumsum(size)]])
+
+
+def joined(runs: list) -> tuple[np.ndarray, np.ndarray]:
+    """Runs one after the other, and their lengths."""
+    count = np.fromiter(map(len, runs), np.int64, len(runs))
+    return np.fromiter(chain.from_iterable(runs), np.uint32, int(count.sum())), count
