@@ -28,8 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, text_steps
-from .pool import Pool
+from .common import ragged, shared_path, text_batches, text_steps
+from .pool import Pool, joined
 
 SAMPLE_DOCS = 256
 SAMPLE_BYTES = 16 << 10
@@ -60,7 +60,7 @@ class TextEncoder:
         splits = [p for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if p["type"] == "Split"]
         self.plain = kinds == ["NFC", "Replace", "Lowercase"] and len(splits) == 1 and splits[0].get("invert") is True
         if self.plain:
-            self.split = regex.compile(splits[0]["pattern"]["Regex"]).findall
+            self.split = regex.compile(splits[0]["pattern"]["Regex"] + "|\n").findall
             self.latin = regex.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff\xbf\xa1]+").fullmatch
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = iter(range(256, 512))
@@ -68,23 +68,29 @@ class TextEncoder:
         self.words = Pool(self._words)
         self.pieces = Pool(self._pieces)
 
-    def _pieces(self, pieces: list[str]) -> list:
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         model, shown = self.tok.model.tokenize, self.shown
-        return [[t.id for t in model(p if p.isascii() else p.encode().decode("latin-1").translate(shown))] for p in pieces]
-
-    def _words(self, words: list[str]) -> list:
-        out: list = [None] * len(words)
-        plain = [i for i, w in enumerate(words) if self.latin(w)] if self.plain else []
-        lists = [self.split(unicodedata.normalize("NFC", words[i]).lower()) for i in plain]
-        if lists:
-            flat, counts = self.pieces.runs(lists)
-            ends = np.cumsum(counts)
-            for i, a, b in zip(plain, ends - counts, ends, strict=True):
-                out[i] = flat[a:b]
-        for i, w in enumerate(words):
-            if out[i] is None:
-                out[i] = self.tok.encode(w, add_special_tokens=False).ids
-        return out
+        return joined([[] if p == "\n" else [t.id for t in model(p if p.isascii() else p.encode().decode("latin-1").translate(shown))] for p in pieces])
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain = np.array([w.isascii() or bool(self.latin(w)) for w in words]) & self.plain
+        fast = [w for w, p in zip(words, plain.tolist(), strict=True) if p]
+        found = self.split(unicodedata.normalize("NFC", "\n".join(fast)).lower()) if fast else []
+        self.pieces.learn({*found, "\n"})
+        at = self.pieces.places(found)
+        count = self.pieces.count[at]
+        ends = np.r_[np.flatnonzero(at == self.pieces.index["\n"]), len(at)]
+        each = np.diff(np.r_[0, np.r_[0, np.cumsum(count)][ends]])[: len(fast)]
+        flat = self.pieces.flat[ragged(self.pieces.first[at], count)]
+        if len(fast) == len(words):
+            return flat, each
+        slow, rest = joined([self.tok.encode(w, add_special_tokens=False).ids for w, p in zip(words, plain.tolist(), strict=True) if not p])
+        counts = np.empty(len(words), dtype=np.int64)
+        counts[plain], counts[~plain] = each, rest
+        out = np.empty(int(counts.sum()), dtype=np.uint32)
+        mine = np.repeat(plain, counts)
+        out[mine], out[~mine] = flat, slow
+        return out, counts
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids one after the other, and their numbers."""
@@ -138,12 +144,20 @@ def _writer(folder: str, tokenizer: str, end_id: int | None, dtype: str, diction
                     out.write(head)
                     at = len(head)
                 flat, each = text_encoder.encode(column.slice(i, n).to_pylist())
-                flat, ends, frames = flat.astype(dtype), np.cumsum(each), []
-                for c, e in zip(each, ends, strict=True):
-                    frames.append(press(np.concatenate([flat[e - c : e], tail]).tobytes()))
+                each = each + len(tail)
+                ends = np.cumsum(each)
+                ids_here = np.empty(int(each.sum()), dtype=dtype)
+                last = np.zeros(len(ids_here), dtype=bool)
+                if len(tail):
+                    last[ends - 1] = True
+                    ids_here[last] = tail[0]
+                ids_here[~last] = flat
+                view = memoryview(ids_here).cast("B")
+                width = ids_here.itemsize
+                frames = [press(view[a * width : b * width]) for a, b in zip((ends - each).tolist(), ends.tolist(), strict=True)]
                 sizes = np.array([len(f) for f in frames])
                 ids.append(doc_ids[i : i + n])
-                counts.append(each + len(tail))
+                counts.append(each)
                 offsets.append(at + np.cumsum(sizes) - sizes)
                 out.write(b"".join(frames))
                 at += int(sizes.sum())
@@ -161,6 +175,7 @@ def _writer(folder: str, tokenizer: str, end_id: int | None, dtype: str, diction
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = None, dtype: str = "<u4", files: int | None = None) -> list[tuple[int, str, int, int]]:
     """Writes docs(doc_id, text) to folder; (shard, path, documents, tokens) of the files in order."""
     spark = docs.sparkSession
+    text_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
     sample = docs.where(f"length(text) BETWEEN 1 AND {SAMPLE_BYTES}").select("text", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(SAMPLE_DOCS).select("text")
     dictionary = train_dictionary([r[0] for r in sample.collect()], tokenizer, end_id, dtype)
