@@ -1,0 +1,143 @@
+"""Fitted models: scoring, permutation importance and exact linear contributions."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from ..functions.columns import finite
+from ..plans.config import Explanation
+
+
+@dataclass(frozen=True)
+class Model:
+    """A fitted estimator (with predict(pandas frame of the features, in order)), and an additive offset column."""
+
+    name: str
+    estimator: object
+    features: tuple[str, ...]
+    offset: str | None = None
+
+
+def predict(df: DataFrame, model: Model, name: str) -> DataFrame:
+    """df with the model's prediction and offset. Features and predictions travel in Arrow batches."""
+    if missing := [c for c in model.features if c not in df.columns]:
+        raise ValueError(f"{model.name}: no such features: {missing}")
+    estimator, features = model.estimator, list(model.features)
+
+    @F.pandas_udf(DoubleType())
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for columns in batches:
+            frame = pd.concat(columns, axis=1)
+            frame.columns = features
+            out = np.asarray(estimator.predict(frame), dtype=float)
+            if out.shape not in ((len(frame),), (len(frame), 1)):
+                raise ValueError("predict must give one number per row")
+            yield pd.Series(out.reshape(-1))
+
+    value = finite(run(*[F.col(f"`{c}`") for c in features]))
+    return df.withColumn(name, value + F.col(f"`{model.offset}`").cast("double") if model.offset else value)
+
+
+def score_models(df: DataFrame, models: list[Model]) -> tuple[DataFrame, list[str]]:
+    """df with every model's predictions, each scored once, and their columns' names."""
+    if len({m.name for m in models}) < len(models) or len(models) < 2:
+        raise ValueError("give at least two models with different names")
+    names = [f"Model prediction {i + 1}" for i in range(len(models))]
+    for m, n in zip(models, names, strict=True):
+        df = predict(df, m, n)
+    return df, names
+
+
+def inconsistent_predictions(df: DataFrame, key: str, saved: str, again: str, rtol: float = 1e-7, atol: float = 1e-8) -> DataFrame:
+    """Rows whose saved prediction isn't the model's."""
+    a, b = F.col(f"`{saved}`"), F.col(f"`{again}`")
+    return df.where(~(F.abs(a - b) <= F.lit(atol) + F.lit(rtol) * F.abs(b))).select(key, saved, again)
+
+
+def cohort(df: DataFrame, key: list, max_rows: int, seed: int) -> DataFrame:
+    """At most max_rows rows: those of the smallest seeded hash of the key."""
+    return df.withColumn("__h", F.xxhash64(F.lit(seed), *key)).orderBy("__h", *key).limit(max_rows).drop("__h")
+
+
+def permutation_importance(df: DataFrame, actual: str, model: Model, *, key: str, groups: dict[str, list[str]] | None = None, include_individual: bool = True, metric: str = "mae", max_rows: int = 2000, repeats: int = 5, random_state: int = 0, shuffle_within: str | None = None, error_scale: float = 1.0, progress: Callable[[dict], None] | None = None) -> Explanation:
+    """How much the error grows when a feature, or a group of features together, is shuffled among a bounded cohort.
+
+    All shuffles are one table: the cohort times (group, repeat), each joined by its place in a seeded order to the
+    cohort in its own order, within shuffle_within's values where it is given. The model scores it in one job."""
+    if max_rows > 50_000 or repeats > 100 or metric not in ("mae", "rmse"):
+        raise ValueError("max_rows is at most 50000, repeats at most 100, metric mae or rmse")
+    wanted = dict(groups or {}) | ({f: [f] for f in model.features} if include_individual else {})
+    if bad := {c for g in wanted.values() for c in g} - set(model.features):
+        raise ValueError(f"not features of the model: {sorted(bad)}")
+    if len(wanted) * repeats + 1 > 10_000:
+        raise ValueError("too many predictions: fewer groups or repeats")
+    error = lambda c: (F.col(c) - F.col(actual).cast("double")) * F.lit(float(error_scale))
+    base = predict(cohort(df.where(F.col(actual).isNotNull()), [F.col(key)], max_rows, random_state), model, "__base").where("__base IS NOT NULL")
+    context = F.col(f"`{shuffle_within}`") if shuffle_within else F.lit(0)
+    columns = list(model.features)
+    base = base.select(F.col(key).alias("__key"), actual, "__base", context.alias("__context"), *columns, *([model.offset] if model.offset and model.offset not in columns else []))
+    runs = df.sparkSession.createDataFrame([(g, r) for g in wanted for r in range(repeats)], "feature_group string, repeat int")
+    many = base.crossJoin(F.broadcast(runs))  # at most max_rows x 10,000, both bounded by the arguments
+    within = W.partitionBy("feature_group", "repeat", "__context")
+    left = many.withColumn("__place", F.row_number().over(within.orderBy("__key")))
+    mixed = many.withColumn("__place", F.row_number().over(within.orderBy(F.xxhash64("__key", "feature_group", "repeat", F.lit(random_state)), "__key")))
+    right = mixed.select("feature_group", "repeat", F.col("__context").alias("__c"), F.col("__place").alias("__p"), *[F.col(c).alias(f"__s_{c}") for c in columns])
+    both = left.join(right.withColumnsRenamed({"feature_group": "__g", "repeat": "__r"}), (F.col("feature_group") == F.col("__g")) & (F.col("repeat") == F.col("__r")) & F.col("__context").eqNullSafe(F.col("__c")) & (F.col("__place") == F.col("__p")))
+    members = F.create_map(*[x for g, c in wanted.items() for x in (F.lit(g), F.array(*[F.lit(y) for y in c]))])
+    shuffled = both.withColumns({c: F.when(F.array_contains(members[F.col("feature_group")], c), F.col(f"__s_{c}")).otherwise(F.col(c)) for c in columns})
+    scored = predict(shuffled, model, "__new")
+    if progress:
+        progress({"stage": "shuffled", "completed": 0, "total": len(wanted) * repeats})
+    e0, e1 = error("__base"), error("__new")
+    per = scored.groupBy("feature_group", "repeat").agg(F.count("*").alias("n"), F.count_if(F.col("__new").isNull()).alias("invalid"), (F.avg(F.abs(e1)) - F.avg(F.abs(e0))).alias("mae_increase"), (F.sqrt(F.avg(e1 * e1)) - F.sqrt(F.avg(e0 * e0))).alias("rmse_increase"))
+    ranked = per.groupBy("feature_group").agg(F.max("n").alias("n"), F.max("invalid").alias("invalid"), F.avg("mae_increase").alias("mae_increase"), F.stddev_samp("mae_increase").alias("mae_increase_sd"), F.avg("rmse_increase").alias("rmse_increase"), F.stddev_samp("rmse_increase").alias("rmse_increase_sd"))
+    ranked = ranked.withColumn("feature_columns", members[F.col("feature_group")]).orderBy(F.desc(f"{metric}_increase"), "feature_group")
+    baseline = base.agg(F.count("*").alias("n"), F.avg(F.abs(e0)).alias("mae"), F.sqrt(F.avg(e0 * e0)).alias("rmse"))
+    return Explanation({"importance": ranked, "repeats": per, "baseline": baseline, "rows": base.select(F.col("__key").alias(key), F.col("__base").alias("prediction"))}, {"metric": metric, "repeats": repeats, "random_state": random_state, "max_rows": max_rows, "shuffle_within": shuffle_within})
+
+
+def linear_contributions(df: DataFrame, features: list[str], weights: list[float], bias: float, *, key: str, max_rows: int = 500, max_local_rows: int = 20, random_state: int = 0) -> Explanation:
+    """Exact contributions of a linear model: weight * (value - cohort mean), with the mean prediction as the base.
+
+    They sum to the prediction; all of it is column arithmetic and one aggregation."""
+    rows = cohort(df, [F.col(key)], max_rows, random_state).select(F.col(key).alias("__key"), *[F.col(f"`{f}`").cast("double").alias(f) for f in features])
+    means = rows.agg(*[F.avg(f).alias(f"__m_{f}") for f in features])
+    both = rows.crossJoin(F.broadcast(means))  # one row
+    parts = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value"), (F.lit(float(w)) * (F.col(f) - F.col(f"__m_{f}"))).alias("contribution")) for f, w in zip(features, weights, strict=True)])
+    base = F.lit(float(bias))
+    for f, w in zip(features, weights, strict=True):
+        base = base + F.lit(float(w)) * F.col(f"__m_{f}")
+    long = both.select("__key", base.alias("base_value"), F.explode(parts).alias("p")).select(F.col("__key").alias(key), "base_value", "p.*")
+    overall = long.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("mean_abs_contribution"), F.avg("contribution").alias("mean_contribution"), F.count("*").alias("n")).orderBy(F.desc("mean_abs_contribution"), "feature")
+    predictions = long.groupBy(key).agg((F.first("base_value") + F.sum("contribution")).alias("prediction"), F.first("base_value").alias("base_value"))
+    local = long.join(F.broadcast(rows.select(F.col("__key").alias(key)).orderBy(key).limit(max_local_rows)), key, "left_semi")
+    return Explanation({"global_importance": overall, "local_contributions": local, "predictions": predictions}, {"max_rows": max_rows, "random_state": random_state})
+
+
+def tree_contributions(df: DataFrame, model: Model, *, key: str, max_rows: int = 500, random_state: int = 0) -> DataFrame:
+    """TreeSHAP by the shap package, where it is installed: (key, feature, value, contribution, base_value)."""
+    try:
+        import shap  # noqa: F401
+    except ImportError as e:
+        raise RuntimeError("tree contributions need the shap package; linear_contributions needs none") from e
+    features, estimator = list(model.features), model.estimator
+
+    def run(batches):
+        import shap
+
+        explainer = shap.TreeExplainer(estimator)
+        for pdf in batches:
+            values = np.asarray(explainer.shap_values(pdf[features]), dtype=float)
+            base = float(np.ravel(explainer.expected_value)[0])
+            yield pd.DataFrame({"row_key": np.repeat(pdf[key].to_numpy(), len(features)), "feature": features * len(pdf), "value": pdf[features].to_numpy(dtype=float).ravel(), "contribution": values.ravel(), "base_value": base})
+
+    schema = StructType([StructField("row_key", df.schema[key].dataType)]).add("feature", "string").add("value", DoubleType()).add("contribution", DoubleType()).add("base_value", DoubleType())
+    return cohort(df, [F.col(key)], max_rows, random_state).select(key, *features).mapInPandas(run, schema)
