@@ -81,4 +81,4 @@ def bin_label(value: Column, edges: tuple, labels: tuple | None, right: bool) ->
 def rounded_correlation(n: Column, sxy: Column, sxx: Column, syy: Column) -> Column:
     """NULL for fewer than three pairs or a constant side; within -1 and 1."""
     r = F.try_divide(sxy, F.sqrt(sxx) * F.sqrt(syy))
-    return F.when(n >= 3, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+    return F.when((n >= 3) & r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))

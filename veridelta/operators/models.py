@@ -35,7 +35,7 @@ def predict(df: DataFrame, model: Model, name: str) -> DataFrame:
     @F.pandas_udf(DoubleType())
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for columns in batches:
-            frame = pd.concat(columns, axis=1)
+            frame = pd.concat(columns if isinstance(columns, tuple) else [columns], axis=1)
             frame.columns = features
             out = np.asarray(estimator.predict(frame), dtype=float)
             if out.shape not in ((len(frame),), (len(frame), 1)):
