@@ -108,9 +108,9 @@ def q_reselect(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(c.select_models("constant", "mean").summary())
 
 
-def _temporal(make):
+def _temporal(make, digits: int = 9):
     config = TemporalConfig("6h", max_lag=8, rolling_bins=4, min_bin_count=5)
-    return lambda s, d: tidy(make(temporal.clock_series(events(s, d).candidate_rows, config), config))
+    return lambda s, d: tidy(make(temporal.clock_series(events(s, d).candidate_rows, config), config), digits)
 
 
 def q_event_lags(spark: SparkSession, sf: str) -> DataFrame:
@@ -242,7 +242,7 @@ QUERIES = {
     "candidate_daily": _diagnosed(lambda c: diagnostics.candidate_daily(c.candidate_rows, tolerance=10.0)),
     "clock_series": _temporal(lambda series, config: series.drop("bin")),
     "clock_acf": _temporal(temporal.autocorrelation),
-    "spectrum": _temporal(lambda series, config: temporal.spectrum(series, config)[0]),
+    "spectrum": _temporal(lambda series, config: temporal.spectrum(series, config)[0], 6),
     "mean_shift": _temporal(temporal.mean_shifts),
     "event_lags": q_event_lags,
     "intraday_bins": q_intraday,

@@ -153,7 +153,7 @@ ORACLE_SQL = {
  f AS (SELECT 2 / (max(t1) - max(t0)) + i * (1 / 86400.0 - 2 / (max(t1) - max(t0))) / 511 AS f FROM s, range(512) x(i) GROUP BY i),
  c AS (SELECT f, y, cos(2 * pi() * f * (t - t0)) AS c, sin(2 * pi() * f * (t - t0)) AS s FROM s, f),
  m AS (SELECT f, avg(y * y) AS yy, avg(y * c) AS yc, avg(y * s) AS ys, avg(c) AS mc, avg(s) AS ms, avg(c * c) - avg(c) * avg(c) AS pc, avg(s * s) - avg(s) * avg(s) AS ps, avg(c * s) - avg(c) * avg(s) AS pcs FROM c GROUP BY f)
- SELECT {r('f', 'frequency_hz')}, {r('1 / f', 'period_seconds')}, {r('(ps * yc * yc + pc * ys * ys - 2 * pcs * yc * ys) / (yy * (pc * ps - pcs * pcs))', 'power')}, {r('mc * mc + ms * ms', 'sampling_window')} FROM m""",
+ SELECT {r('f', 'frequency_hz', 6)}, {r('1 / f', 'period_seconds', 6)}, {r('(ps * yc * yc + pc * ys * ys - 2 * pcs * yc * ys) / (yy * (pc * ps - pcs * pcs))', 'power', 6)}, {r('mc * mc + ms * ms', 'sampling_window', 6)} FROM m""",
     "event_lags": f"""WITH {EV}, {errors()}, v AS (SELECT e, ts, avg(ec) AS y, count(*) AS k FROM candidate GROUP BY 1, 2), a AS (SELECT (SELECT count(*) FROM candidate) AS source_rows, sum(k)::BIGINT AS eligible_rows, count(*) AS distinct_events FROM v),
  p AS (SELECT lag_events, e, y, lag(y, lag_events) OVER w AS x, epoch_us(ts) - epoch_us(lag(ts, lag_events) OVER w) AS gap FROM v, range(1, 6) l(lag_events) WINDOW w AS (PARTITION BY lag_events, e ORDER BY ts))
  SELECT lag_events, count(*) AS pair_n, count(DISTINCT e) AS entity_n, {r(CORR, 'correlation')}, {r('quantile_cont(gap, 0.5) / 1e6', 'median_gap_seconds')}, {r('quantile_cont(gap, 0.9) / 1e6', 'p90_gap_seconds')}, 'ok' AS status,
