@@ -15,10 +15,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import alnum_bytes, find_words, hash_text_words, hash_words, stored, text_steps
+from .common import alnum_bytes, find_words, hash_text_words, hash_words, stored, text_batches, text_steps
 
 #: Words of a window of a benchmark item.
 WINDOW = 13
@@ -27,14 +28,17 @@ SEGMENT_BYTES = 8 << 20
 #: Bytes of benchmark texts that are looked up in one pass; a larger benchmark takes several passes.
 PASS_BYTES = 16 << 20
 
-_INDEX = "n_docs int, doc_ids binary, doc_starts binary, terms binary, term_first binary, gaps binary"
-_SPANS = "doc_id long, n_words long, starts array<int>, ends array<int>, items array<string>"
+_INDEX = "segment string, doc_ids binary, doc_starts binary, terms binary, term_first binary, gaps binary"
+_SPANS = "segment string, row int, doc_id long, n_words long, starts array<int>, ends array<int>, items array<string>"
+
+
+_NAMES = [x.split()[0] for x in _INDEX.split(", ")]
 
 
 def _segments(batches):
+    part, k = TaskContext.get().partitionId(), 0
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        rows = []
         for at, n, raw, offsets in text_steps(batch.column(1), SEGMENT_BYTES):
             starts, lens, first = find_words(raw, offsets, alnum_bytes())
             h = hash_words(raw, starts, lens)
@@ -42,16 +46,14 @@ def _segments(batches):
             h = h[order]
             new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, dtype=np.int64)
             gaps = np.diff(order, prepend=np.uint32(0)).astype(np.uint32)
-            rows.append((n, ids[at : at + n].tobytes(), first.astype(np.int64).tobytes(), h[new].tobytes(), np.r_[new, len(h)].astype(np.int64).tobytes(), gaps.tobytes()))
-            if sum(len(r[5]) for r in rows) > (32 << 20):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 5], strict=True)], names=["n_docs", "doc_ids", "doc_starts", "terms", "term_first", "gaps"])
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 5], strict=True)], names=["n_docs", "doc_ids", "doc_starts", "terms", "term_first", "gaps"])
+            row = (ids[at : at + n], first.astype(np.int64), h[new], np.r_[new, len(h)].astype(np.int64), gaps)
+            yield pa.RecordBatch.from_arrays([pa.array([f"{part}-{k}"]), *[pa.array([x.tobytes()], pa.binary()) for x in row]], names=_NAMES)
+            k += 1
 
 
 def build_index(docs: DataFrame) -> DataFrame:
     """The positional inverted index of docs(doc_id, text) as a table of segments in the shared folder."""
+    text_batches(docs.sparkSession, 4000)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
     return stored(docs.mapInArrow(_segments, _INDEX), "postings")
 
@@ -164,8 +166,8 @@ def _spans_of(phrases):
                 none = (np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32), [])
                 got = [found.get(d, none) for d in range(len(segment.doc_ids))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(segment.doc_ids), pa.array(n), pa.array([g[0].astype(np.int32) for g in got], pa.list_(pa.int32())), pa.array([g[1].astype(np.int32) for g in got], pa.list_(pa.int32())), pa.array([g[2] for g in got], pa.list_(pa.string()))],
-                    names=["doc_id", "n_words", "starts", "ends", "items"],
+                    [pa.array([row["segment"]] * len(n)), pa.array(np.arange(len(n), dtype=np.int32)), pa.array(segment.doc_ids), pa.array(n), pa.array([g[0].astype(np.int32) for g in got], pa.list_(pa.int32())), pa.array([g[1].astype(np.int32) for g in got], pa.list_(pa.int32())), pa.array([g[2] for g in got], pa.list_(pa.string()))],
+                    names=["segment", "row", "doc_id", "n_words", "starts", "ends", "items"],
                 )
 
     return run
@@ -191,16 +193,16 @@ def phrase_matches(index: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     The benchmark is the stated query set: it is looked up in passes of bounded size, each of them broadcast."""
     spark = index.sparkSession
     parts = [index.mapInArrow(_spans_of(spark.sparkContext.broadcast(Phrases(items, window))), _SPANS) for items in item_passes(benchmark, pass_bytes)]
-    if len(parts) == 1:
-        return parts[0]
-    rows = parts[0].withColumn("part", F.lit(0))
-    for k, p in enumerate(parts[1:]):
-        rows = rows.unionByName(p.withColumn("part", F.lit(k + 1)))
-    raise_if = rows.groupBy("doc_id", "n_words", "part").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"), F.flatten(F.collect_list("items")).alias("items"), F.count("*").alias("copies"))
-    merged = raise_if.groupBy("doc_id", "n_words").agg(F.flatten(F.collect_list("starts")).alias("s"), F.flatten(F.collect_list("ends")).alias("e"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("copies").alias("copies"))
-    spans = F.expr("""aggregate(array_sort(arrays_zip(s, e)), cast(array() as array<struct<s:int,e:int>>),
-        (a, x) -> if(size(a) > 0 AND x.s <= element_at(a, -1).e, concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).s AS s, greatest(element_at(a, -1).e, x.e) AS e))), concat(a, array(struct(x.s AS s, x.e AS e)))))""")
-    return merged.withColumn("m", spans).withColumn("c", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc_id", "n_words", F.col("m.s").alias("starts"), F.col("m.e").alias("ends"), "items")
+    rows = parts[0]
+    if len(parts) > 1:
+        for p in parts[1:]:
+            rows = rows.unionByName(p)
+        all_of = lambda c: F.flatten(F.collect_list(c))  # noqa: E731  of one document
+        rows = rows.groupBy("segment", "row", "doc_id", "n_words").agg(all_of("starts").alias("s"), all_of("ends").alias("e"), F.array_sort(F.array_distinct(all_of("items"))).alias("items"))
+        spans = F.expr("""aggregate(array_sort(arrays_zip(s, e)), cast(array() as array<struct<s:int,e:int>>),
+            (a, x) -> if(size(a) > 0 AND x.s <= element_at(a, -1).e, concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).s AS s, greatest(element_at(a, -1).e, x.e) AS e))), concat(a, array(struct(x.s AS s, x.e AS e)))))""")
+        rows = rows.withColumn("m", spans).select("doc_id", "n_words", F.col("m.s").alias("starts"), F.col("m.e").alias("ends"), "items")
+    return rows.select("doc_id", "n_words", "starts", "ends", "items")
 
 
 def proximity_matches(index: DataFrame, benchmark: DataFrame, slop: int = 20, pass_bytes: int = PASS_BYTES) -> DataFrame:

@@ -184,7 +184,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     with fs.open_output_stream(f"{base}/dictionary.zstd") as out:
         out.write(dictionary)
     if files is None:
-        files = max(1, -(-int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) // FILE_BYTES))
+        size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        # tables that aren't read from files have no known size
+        files = max(1, -(-size // FILE_BYTES)) if size < 1 << 60 else docs.rdd.getNumPartitions()
     order = docs.withColumn("h", F.xxhash64("text")).repartitionByRange(files, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     held = spark.sparkContext.broadcast(dictionary)
     return sorted(map(tuple, order.mapInArrow(_writer(folder, tokenizer, end_id, dtype, held), _WRITTEN).collect()))
