@@ -187,6 +187,8 @@ def test_licenses_sql(spark, sf_dir):
 def test_toxicity(spark, sf_dir):
     from veridelta.llm import toxicity as X
 
+    sf_dir = sf_dir.replace("sf0.001", "sf0.01")
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = X.fit(docs, labels)
