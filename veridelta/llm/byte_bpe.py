@@ -73,8 +73,13 @@ class ByteBpe:
         self._table("merges", pair=pa.array([r[0] for r in rows], pa.int64()), id=pa.array([r[1] for r in rows], pa.int64()))
         self._table("vocabulary", id=pa.array(list(self.ranks.values()), pa.int64()), piece=pa.array([t.decode("latin-1") for t in self.ranks]))
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
-        self.words = Pool(self._words, 300_000)
-        self.pieces = Pool(self._pieces, 300_000)
+        self.words = Pool(self._words, 200_000)
+        self.pieces = Pool(self._pieces, 200_000)
+
+    def release(self) -> None:
+        """Forgets the words of a finished task: a worker may go on to tasks of other stages, which need the memory."""
+        self.words.clear()
+        self.pieces.clear()
 
     def _table(self, name: str, **columns) -> None:
         self.db.register("given", pa.table(columns))
@@ -222,6 +227,7 @@ def _both(path: str, pattern: str):
                 runs = [ids[e - c : e].tobytes() for c, e in zip(counts.tolist(), ends.tolist(), strict=True)]
                 decoded = [hashlib.sha256(x).hexdigest() for x in bpe.decode(flat, counts)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.array(counts, pa.int64()), pa.array(runs, pa.binary()), pa.array(decoded)], names=["doc_id", "n_tokens", "ids", "decoded_sha256"])
+        bpe.release()
 
     return run
 

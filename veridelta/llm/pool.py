@@ -15,6 +15,9 @@ class Pool:
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 400_000):
         self.encode, self.limit = encode, limit
+        self.clear()
+
+    def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.again: set[str] = set()
         self.flat, self.first, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
