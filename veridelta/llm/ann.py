@@ -4,8 +4,9 @@ Training (k-means of the coarse centroids, then of the residuals' parts) takes a
 smallest hash. Every vector is indexed: equal vectors as one class with their ids, of which a search for k can use the
 k + 1 smallest only. A search scores a probed list by asymmetric distance tables (the query's own inner products with
 the centroid and with each codeword), keeps the best classes of each list and reranks them by the exact inner products
-of the original vectors. Lists are dealt out in shards of bounded size, so a list that holds a third of the data is
-many tasks.
+of the original vectors. The index is dealt out in groups of bounded size, each with a piece of every list, so a list
+that holds a third of the data is many tasks; the queries are a stated set that meets every group in blocks. A task
+keeps the best of all lists that a query probes before anything is sent.
 
 Defined cases: vectors that are null, zero, of another length than the index's or hold null or non-finite components
 take no part, nor do rows without an id; ties go to the smaller id; repeated rows of one id count once; a query with
@@ -22,15 +23,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored, text_batches
+from .common import ragged, stored, text_batches
 
 SAMPLE = 20_000
-#: Vectors of a shard of a list.
-SHARD = 8192
+#: Classes of a group of the index, and queries of a block.
+GROUP, BLOCK = 262_144, 1024
 #: Parts of a vector, and codewords of each.
 PARTS, WORDS = 16, 256
 #: Share of the lists that a query probes, and classes reranked for each query.
-PROBED, RERANKED = 0.65, 600
+PROBED, RERANKED = 0.65, 200
 
 
 @dataclass
@@ -66,7 +67,7 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) ->
         n = np.bincount(of, minlength=len(centres))
         sums = np.zeros_like(centres)
         np.add.at(sums, of, x)
-        centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], x[rng.integers(0, len(x), len(centres))])
+        centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], x[rng.integers(0, len(x), len(centres))]).astype(np.float32)
     return centres
 
 
@@ -114,60 +115,49 @@ def _indexing(quantiser):
     return run
 
 
-def _probing(quantiser, probed: int):
-    def run(batches):
-        q = quantiser.value
-        for batch in batches:
-            x = _vectors(batch.column(1))
-            near = x.astype(np.float32) @ q.centroids.T
-            cells = np.argsort(-near, axis=1, kind="stable")[:, :probed]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), cells.shape[1])), pa.array(cells.ravel(), pa.int32()), pa.array(near[np.arange(len(x))[:, None], cells].ravel(), pa.float32())], names=["query", "cell", "near"])
-
-    return run
-
+_FOUND = "query long, class_id long, near float"
 
-def _best(query: np.ndarray, class_id: np.ndarray, score: np.ndarray, keep: int) -> np.ndarray:
-    order = np.lexsort((class_id, -score, query))
-    first = np.flatnonzero(np.r_[True, query[order][1:] != query[order][:-1]])
-    rank = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
-    return order[rank < keep]
 
-
-def _scan(quantiser, keep: int):
-    """Of a shard: for each query that probes its list, the best classes by the asymmetric tables."""
+def _scan(quantiser, probed: float, keep: int):
+    """Of a block of queries and a group of the index: each query's best classes among the lists that it probes."""
 
     def run(key, left, right):
-        q = quantiser.value
-        n = right.num_rows
-        found = [[], [], []]
+        q, n = quantiser.value, right.num_rows
+        found = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]]
         if n and left.num_rows:
-            codes = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(n, -1).astype(np.int64)
-            classes = right.column("class_id").to_numpy()
-            query, near = left.column("query").to_numpy(), left.column("near").to_numpy()
-            x = _vectors(left.column("v")).astype(np.float32)
-            for i in range(0, len(query), 64):
-                tables = q.tables(x[i : i + 64])
-                score = np.repeat(near[i : i + 64, None], n, axis=1)
-                for m in range(codes.shape[1]):
-                    score += tables[:, m, codes[:, m]]
-                k = min(keep, n)
-                at = np.argpartition(-score, k - 1, axis=1)[:, :k] if k < n else np.repeat(np.arange(n)[None], len(score), axis=0)
-                found[0].append(np.repeat(query[i : i + 64], k))
-                found[1].append(classes[at].ravel())
-                found[2].append(score[np.arange(len(score))[:, None], at].ravel())
-        cols = [np.concatenate(f) if f else np.zeros(0, t) for f, t in zip(found, (np.int64, np.int64, np.float32), strict=True)]
-        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float32()), strict=True)], names=["query", "class_id", "near"])
+            cells = right.column("cell").to_numpy()
+            order = np.argsort(cells, kind="stable")
+            classes = right.column("class_id").to_numpy()[order]
+            # one row per part, so that a table is read along it
+            codes = np.ascontiguousarray(np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(n, -1)[order].T)
+            first = np.searchsorted(cells[order], np.arange(len(q.centroids) + 1))
+            size = np.diff(first)
+            query, x = left.column("query").to_numpy(), _vectors(left.column("v")).astype(np.float32)
+            near = x @ q.centroids.T
+            lists = max(1, min(len(size), round(len(size) * probed) + 8))
+            probes = np.argsort(-near, axis=1, kind="stable")[:, :lists]
+            for i in range(len(query)):
+                cell = np.sort(probes[i])
+                at = ragged(first[cell], size[cell])
+                score = np.repeat(near[i, cell], size[cell])
+                for m, table in enumerate(q.tables(x[i : i + 1])[0]):
+                    score += table[codes[m, at]]
+                best = np.argpartition(-score, keep - 1)[:keep] if keep < len(score) else np.arange(len(score))
+                for held, part in zip(found, (np.full(len(best), query[i]), classes[at[best]], score[best].astype(np.float32)), strict=True):
+                    held.append(part)
+        return pa.table([np.concatenate(f) for f in found], names=["query", "class_id", "near"])
 
     return run
 
 
 @dataclass
 class Index:
-    """classes: (class_id, v, ids, n) of distinct vectors; rows: (class_id, cell, code, shard) of every one of them."""
+    """classes: (class_id, v, ids) of distinct vectors; rows: (class_id, cell, code) of every one of them."""
 
     quantiser: Quantiser
     classes: DataFrame
     rows: DataFrame
+    n: int
     k: int
 
 
@@ -188,25 +178,20 @@ def build_index(vectors: DataFrame, id_column: str = "vec_id", vector_column: st
     quantiser = fit_quantiser(_vectors(taken.column("v")).astype(np.float32), n)
     held = spark.sparkContext.broadcast(quantiser)
     coded = stored(classes.select("class_id", "v").mapInArrow(_indexing(held), "class_id long, cell int, code binary"), "vector-codes")
-    # one row for each list: bounded by the number of lists
-    sizes = coded.groupBy("cell").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"))
-    return Index(quantiser, classes, coded.join(F.broadcast(sizes), "cell").withColumn("shard", F.pmod(F.xxhash64("class_id"), F.col("shards")).cast("int")), k)
+    return Index(quantiser, classes, coded, n, k)
 
 
 def search(index: Index, queries: DataFrame, probed: float = PROBED, reranked: int = RERANKED) -> DataFrame:
     """(query_id, rank, vec_id, score) of queries(id): rows of the index, each against all others."""
     spark = index.classes.sparkSession
     quantiser = spark.sparkContext.broadcast(index.quantiser)
-    lists = len(index.quantiser.centroids)
-    asked = queries.select("id", "v").dropDuplicates(["id"])
     named = index.classes.select(F.col("class_id").alias("query"), "v")
-    asked = stored(asked.join(named, "v").select("id", "query"), "queries")
-    wanted = named.join(asked.select("query").distinct(), "query", "left_semi")
-    probes = wanted.mapInArrow(_probing(quantiser, max(1, min(lists, round(lists * probed) + 8))), "query long, cell int, near float")
-    sizes = index.rows.groupBy("cell").agg(F.max("shards").alias("shards"))
-    probes = probes.join(F.broadcast(sizes), "cell").withColumn("shard", F.explode(F.expr("sequence(0, shards - 1)"))).select("query", "cell", "near", "shard")
-    probes = probes.join(wanted, "query")
-    found = probes.groupBy("cell", "shard").cogroup(index.rows.select("cell", "shard", "class_id", "code").groupBy("cell", "shard")).applyInArrow(_scan(quantiser, reranked), "query long, class_id long, near float")
+    asked = stored(queries.select("id", "v").dropDuplicates(["id"]).join(named, "v").select("id", "query"), "queries")
+    wanted = stored(named.join(asked.select("query").distinct(), "query", "left_semi"), "query-classes")
+    groups, blocks = max(1, -(-index.n // GROUP)), max(1, -(-wanted.count() // BLOCK))
+    left = wanted.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    right = index.rows.withColumn("group", F.pmod(F.xxhash64("class_id"), F.lit(groups)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    found = left.groupBy("group", "block").cogroup(right.groupBy("group", "block")).applyInArrow(_scan(quantiser, probed, reranked), _FOUND)
     short = found.withColumn("r", F.row_number().over(W.partitionBy("query").orderBy(F.desc("near"), "class_id"))).where(F.col("r") <= reranked).select("query", "class_id")
     exact = short.join(index.classes, "class_id").join(wanted.withColumnRenamed("v", "q"), "query")
     exact = exact.select("query", "ids", F.expr("aggregate(zip_with(q, v, (a, b) -> a * b), 0D, (a, x) -> a + x)").alias("score"))
