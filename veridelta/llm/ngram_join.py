@@ -24,22 +24,23 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import find_words, hash_words, ragged, shingle_hashes, space_bytes, stored, text_steps
-from .graph import components
+from .common import find_words, hash_words, ragged, shingle_hashes, space_bytes, stored, text_batches, text_steps
+from .graph import components, forest
 
 SIZE = 5
 #: Similarity, in hundredths.
 PERCENT = 75
 #: Entries (n-grams of documents) of a column block.
-BLOCK_ENTRIES = 4_000_000
+BLOCK_ENTRIES = 1_000_000
 #: Rows and n-grams of a chunk of a large coarse component.
 CHUNK_ROWS, CHUNK_ENTRIES = 3000, 1_500_000
 _LOW48 = np.uint64((1 << 48) - 1)
-_PACKED = "bucket int, docs binary, sizes binary, counts binary, grams binary, extra binary"
-_PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary()), ("extra", pa.binary())])
+_PACKED = "bucket int, n_docs int, head binary, grams binary"
+_PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("n_docs", pa.int32()), ("head", pa.binary()), ("grams", pa.binary())])
 
 
 def pack48(h: np.ndarray) -> bytes:
@@ -89,19 +90,27 @@ def _rows_of(bucket: np.ndarray, docs: np.ndarray, sizes: np.ndarray, counts: np
     bucket, owner, grams = bucket[order], owner[order], grams[order]
     extra = None if extra is None else extra[order]
     cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
-    rows = []
+    rows, press = [], zstandard.ZstdCompressor(level=1).compress
     for a, b in zip(cuts, np.r_[cuts[1:], len(bucket)], strict=True):
         own = owner[a:b]
         at = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
         who = own[at]
-        rows.append((int(bucket[a]), docs[who].astype("<i8").tobytes(), sizes[who].astype("<i4").tobytes(), np.diff(np.r_[at, len(own)]).astype("<i4").tobytes(), pack48(grams[a:b]), b"" if extra is None else extra[a:b].astype("<u2").tobytes()))
+        head = [np.diff(docs[who], prepend=0).astype("<i8"), sizes[who].astype("<i4"), np.diff(np.r_[at, len(own)]).astype("<i4"), np.zeros(0) if extra is None else extra[a:b].astype("<u2")]
+        rows.append((int(bucket[a]), len(who), press(b"".join(x.tobytes() for x in head)), pack48(grams[a:b])))
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PACKED_ARROW.types, strict=True)], schema=_PACKED_ARROW) if rows else pa.RecordBatch.from_pylist([], schema=_PACKED_ARROW)
 
 
 def _unpacked(table: pa.Table):
     """(docs, sizes, counts, grams, extra) of a bucket's packed rows."""
-    col = lambda k, t: np.frombuffer(b"".join(table.column(k).to_pylist()), dtype=t)
-    return col("docs", "<i8"), col("sizes", "<i4"), col("counts", "<i4"), unpack48(b"".join(table.column("grams").to_pylist())), col("extra", "<u2")
+    parts, unpress = [[], [], [], []], zstandard.ZstdDecompressor().decompress
+    for n, head in zip(table.column("n_docs").to_pylist(), table.column("head").to_pylist(), strict=True):
+        data = unpress(head)
+        parts[0].append(np.cumsum(np.frombuffer(data, "<i8", n)))
+        parts[1].append(np.frombuffer(data, "<i4", n, 8 * n))
+        parts[2].append(np.frombuffer(data, "<i4", n, 12 * n))
+        parts[3].append(np.frombuffer(data, "<u2", -1, 16 * n))
+    docs, sizes, counts, extra = (np.concatenate(x) for x in parts)
+    return docs, sizes, counts, unpack48(b"".join(table.column("grams").to_pylist())), extra
 
 
 def _of_block(grams: np.ndarray, blocks: int) -> np.ndarray:
@@ -197,7 +206,7 @@ def _rare_columns(blocks: int):
 
 
 def _coarse_links(percent: int):
-    """Of a column block: links between documents next to one another in size that share a column and may be partners."""
+    """Of a column block: a forest of the links between documents next to one another in size that share a column and may be partners."""
 
     def run(key, table):
         docs, sizes, counts, grams, _ = _unpacked(table)
@@ -205,9 +214,8 @@ def _coarse_links(percent: int):
         order = np.lexsort((doc, n, grams))
         doc, n, grams = doc[order], n[order], grams[order]
         link = (grams[1:] == grams[:-1]) & (n[:-1] * 100 >= percent * n[1:]) & (doc[1:] != doc[:-1])
-        u, v = np.maximum(doc[1:][link], doc[:-1][link]), np.minimum(doc[1:][link], doc[:-1][link])
-        pairs = np.unique(np.stack([u, v], axis=1), axis=0) if len(u) else np.zeros((0, 2), np.int64)
-        return pa.table({"u": pairs[:, 0], "v": pairs[:, 1]})
+        node, root = forest(doc[1:][link], doc[:-1][link])
+        return pa.table({"u": node, "v": root})
 
     return run
 
@@ -287,14 +295,16 @@ def _verified(percent: int):
 
 def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of docs(doc_id, text)."""
+    text_batches(docs.sparkSession, 4000)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
     signed = stored(docs.mapInArrow(_signatures(size), "doc_id long, n long, first long, key binary"), "signatures")
     entries = signed.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-entries // BLOCK_ENTRIES))
 
-    shared = docs.mapInArrow(_columns(size, blocks), _PACKED).groupBy("bucket").applyInArrow(_shared(blocks), _PACKED)
+    shared = docs.mapInArrow(_columns(size, blocks), _PACKED).groupBy("bucket").applyInArrow(_shared(-(-blocks // 4)), _PACKED)
     rows = stored(shared.groupBy("bucket").applyInArrow(_candidates(percent), "doc_id long, n long, shared binary, rare binary"), "rows")
-    coarse = components(rows.select("doc_id", "n", "rare").mapInArrow(_rare_columns(blocks), _PACKED).groupBy("bucket").applyInArrow(_coarse_links(percent), "u long, v long"))
+    rare = rows.agg(F.sum(F.length("rare"))).first()[0] or 0
+    coarse = components(rows.select("doc_id", "n", "rare").mapInArrow(_rare_columns(max(1, -(-rare // 6 // BLOCK_ENTRIES))), _PACKED).groupBy("bucket").applyInArrow(_coarse_links(percent), "u long, v long"))
 
     coarse = coarse.unionByName(coarse.select(F.col("component").alias("node"), "component").distinct())
     members = coarse.join(rows.select("doc_id", "n", "shared"), coarse["node"] == rows["doc_id"])
