@@ -152,6 +152,25 @@ def test_passage_stage(spark, docs):
     assert 7 not in texts_ and 6 in texts_ and None in texts_ and 1 in texts_
 
 
+def test_stages_on_repeated_ids(spark):
+    from veridelta.llm import ngram_join as J
+    from veridelta.llm import passages as S
+
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    passage = words("p", 60)
+    rows = [(1, passage), (2, words("a", 20) + " " + passage), (2, words("a", 20) + " " + passage), (3, words("b", 15) + " " + passage), (3, words("c", 70)), (4, passage + " " + words("d", 9)), (4, "short"), (5, passage + " end"), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    # the equal rows hold each other's 50-word windows that begin before the passage, whose first place is theirs
+    left = words("a", 20) + " " + words("p", 49)
+    assert (2, 80, 80, 11) in S.passages_brute(rows)
+    want = [(1, passage), (2, left), (2, left), (3, words("b", 15)), (3, words("c", 70)), (4, words("d", 9)), (4, "short"), (5, "end"), (5, None)]
+    assert got(S.stage_repeated_passages(spark, df, ""), "doc_id", "text") == sorted(want, key=repr)
+    rows = [(1, words("a", 30)), (1, words("a", 30)), (2, words("a", 30)), (3, words("c", 30)), (3, words("b", 30)), (None, "x"), (None, "x"), (4, None), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = [(1, words("a", 30)), (3, words("b", 30)), (None, "x"), (None, "x"), (4, None)]
+    assert got(J.stage_ngram_join(spark, df, ""), "doc_id", "text") == sorted(want, key=repr)
+
+
 def test_trie_counts(docs, none, rows):
     from veridelta.llm import trie_counts as T
 
