@@ -152,6 +152,29 @@ def test_passage_stage(spark, docs):
     assert 7 not in texts_ and 6 in texts_ and None in texts_ and 1 in texts_
 
 
+def test_near_passages(spark):
+    from veridelta.llm import passages as S
+
+    fresh = iter(range(100_000))
+    prose = lambda n: [f"w{next(fresh)}" for _ in range(n)]
+    edit = lambda words, *at: [prose(1)[0] if i in at else w for i, w in enumerate(words)]
+    one, two, three = prose(60), prose(75), prose(64)
+    rows = [
+        (1, prose(8) + one + prose(7)), (2, prose(11) + edit(one, 30) + prose(3)), (3, two + prose(5)), (4, prose(6) + edit(two, 36)),
+        (5, prose(9) + three), (6, three[:30] + prose(4) + three[30:] + prose(2)), (7, prose(70)), (8, edit(prose(60), 5) + one[:30]),
+    ]
+    rows = [(i, " ".join(w)) for i, w in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    size = lambda a, b: sum(y - x for x, y in zip(a, b, strict=True))
+    found = sorted((r.doc_id, r.n_words, size(r.starts, r.ends), size(r.away_starts, r.away_ends)) for r in S.near_repeated_passages(df).collect())
+    assert found == S.near_brute(rows) and found[1] == (2, 74, 60, 60) and found[5][2:] == (68, 68)
+    # a passage with an edit in every 40 words, in many texts: more than the leaders of a first round
+    long = prose(200)
+    many = [(i, " ".join(prose(5) + edit(long, *range(i % 40, 200, 40)) + prose(5))) for i in range(90)]
+    found = {r.doc_id: size(r.away_starts, r.away_ends) for r in S.near_repeated_passages(spark.createDataFrame(many, "doc_id long, text string").repartition(3)).collect()}
+    assert found[0] == 0 and min(found[i] for i in range(1, 90)) >= 190
+
+
 def test_stages_on_repeated_ids(spark):
     from veridelta.llm import ngram_join as J
     from veridelta.llm import passages as S
