@@ -261,6 +261,19 @@ def test_nearest(spark):
     assert A.build_index(df.limit(0)) is None
 
 
+def test_nearest_in_a_dense_group(spark):
+    from veridelta.llm import ann as A
+
+    rnd = np.random.default_rng(4)
+    x = rnd.normal(size=(3000, 64)).astype(np.float32)
+    x[:550] = x[0] * 3 + rnd.normal(size=(550, 64)).astype(np.float32) * 1e-3
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(3000)], "vec_id long, embedding array<float>")
+    queries = A.usable(df, "vec_id", "embedding").where("id % 20 = 0 AND id < 550")
+    found = {(r.query_id, r.vec_id) for r in A.search(A.build_index(df, sample=40), queries).collect()}
+    want = A.nearest_brute(np.arange(3000), x.astype(float), np.arange(0, 550, 20))
+    assert np.mean([(q, v) in found for q, _, v, _ in want]) >= 0.97
+
+
 def test_pipeline(spark, sf_dir):
     import __spark_entry__
     import corpus_pipeline
