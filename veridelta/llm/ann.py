@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ragged, stored, text_batches
+from .common import lean, ragged, stored, text_batches
 
 SAMPLE = 20_000
 #: Classes of a group of the index, and queries of a block.
@@ -104,6 +104,7 @@ def _vectors(column: pa.Array) -> np.ndarray:
 
 
 def _indexing(quantiser):
+    @lean
     def run(batches):
         q = quantiser.value
         for batch in batches:

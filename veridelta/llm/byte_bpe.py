@@ -1,13 +1,15 @@
 """Byte-level BPE encoding and decoding by DuckDB queries inside each partition.
 
 Encoding: the rows (word, position, token) of distinct pre-tokens join the merge table; a recursive query contracts
-each word's leftmost pair of minimum rank until no word has a pair left. Decoding: the rows (document, position, id)
-join the vocabulary and are aggregated in the order of their positions.
+each word's leftmost pair of minimum rank until no word has a pair left. One round contracts all pairs of a word's
+minimum rank from the left, as one after the other would, where no merge with the new token has a lower rank (a fixed
+property of the merge table); otherwise the leftmost alone. Only the newest ROUND_ROWS rows or so are kept: a word that
+needs more rounds goes on from its newest round. Decoding: the rows (document, position, id) join the vocabulary and are
+aggregated in the order of their positions.
 
 Texts are cut into pre-tokens by the tokenizer's pattern. Where a text has no two white-space characters in a row, a cut
 at each space is one of the pattern's own, so the pattern runs once for each distinct piece between spaces; other texts
-go through the pattern whole. A pre-token of over LONG bytes would take as many rounds as it has merges and is
-contracted by a heap instead, pair by pair in the same order.
+go through the pattern whole.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes; rows keep their doc_id, null or repeated;
 other columns are ignored; an empty table gives no rows.
@@ -17,7 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
+from contextlib import closing
 from functools import cache
 
 import numpy as np
@@ -25,28 +27,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_batches, text_steps
-from .pool import Pool, joined
+from .common import lean, ragged, text_batches, text_steps
+from .pool import Pool
 
-#: Bytes of the longest pre-token that the recursive query takes.
-LONG = 255
-#: Distinct pre-tokens of one recursive query.
-QUERY_WORDS = 20_000
+#: Distinct pre-tokens of one recursive query, and their bytes.
+QUERY_WORDS, QUERY_BYTES = 20_000, 150_000
+#: Rows that the rounds of one query hold together.
+ROUND_ROWS = 2_000_000
+#: Text that is encoded and decoded at once.
+TEXT_BYTES = 2 << 20
 _ENCODED = "doc_id long, n_tokens long, ids binary"
 
+#: k: the word's number, then the position of the token's first byte in 24 bits.
 _MERGE = """
 WITH RECURSIVE step AS (
   SELECT k, id, 0 AS n FROM seq
   UNION ALL
   (WITH p AS MATERIALIZED (
-     SELECT k, id, n, k >> 8 AS w, lag(k) OVER o AS before, lead(k) OVER o AS after, lead(id) OVER o AS next_id FROM step WINDOW o AS (ORDER BY k)),
-   b AS (
-     SELECT p.w, min((m.id << 8) | (p.k & 255)) AS best FROM p JOIN merges m ON m.pair = (p.id << 32) + p.next_id
-     WHERE p.after >> 8 = p.w GROUP BY 1)
-   SELECT p.k, CASE WHEN p.k & 255 = b.best & 255 THEN b.best >> 8 ELSE p.id END, p.n + 1
-   FROM p JOIN b ON b.w = p.w WHERE p.before IS NULL OR p.before <> ((b.w << 8) | (b.best & 255)))
+     SELECT k, id, n, k >> 24 AS w, lead(k) OVER o AS after, lead(id) OVER o AS next_id, row_number() OVER o AS j FROM step WINDOW o AS (ORDER BY k)),
+   pairs AS MATERIALIZED (
+     SELECT p.k, p.w, p.j, p.after, m.id AS new, m.safe FROM p JOIN merges m ON m.pair = (p.id << 32) + p.next_id WHERE p.after >> 24 = p.w AND p.n < {rounds}),
+   b AS MATERIALIZED (SELECT w, min((new << 24) | (k & 16777215)) AS best FROM pairs GROUP BY w),
+   least AS MATERIALIZED (
+     SELECT x.k, x.after, x.new, x.safe, x.k & 16777215 = b.best & 16777215 AS leftmost, x.j - row_number() OVER (ORDER BY x.k) AS run
+     FROM pairs x JOIN b ON b.w = x.w AND b.best >> 24 = x.new),
+   hits AS MATERIALIZED (
+     SELECT k, after, new FROM (SELECT k, after, new, safe, leftmost, row_number() OVER (PARTITION BY run ORDER BY k) AS i FROM least) WHERE CASE WHEN safe THEN i % 2 = 1 ELSE leftmost END)
+   SELECT p.k, coalesce(h.new, p.id), p.n + 1
+   FROM p JOIN b ON b.w = p.w LEFT JOIN hits h ON h.k = p.k WHERE p.k NOT IN (SELECT after FROM hits))
 )
-SELECT step.k >> 8 AS w, step.id FROM step JOIN (SELECT k >> 8 AS w, max(n) AS n FROM step GROUP BY 1) b ON b.w = step.k >> 8 AND b.n = step.n ORDER BY step.k
+SELECT step.k, step.id, b.n FROM step JOIN (SELECT k >> 24 AS w, max(n) AS n FROM step GROUP BY 1) b ON b.w = step.k >> 24 AND b.n = step.n ORDER BY step.k
 """
 _DECODE = "SELECT d, string_agg(piece, '') AS s FROM (SELECT d, piece FROM tokens JOIN vocabulary USING (id) ORDER BY k) GROUP BY d"
 
@@ -56,8 +66,20 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+@cache
+def merge_table(path: str) -> tuple[dict[bytes, int], np.ndarray, np.ndarray, np.ndarray]:
+    """Ranks, and the merges: pairs of ids, the new id, and whether no merge with it has a lower rank."""
+    ranks = read_ranks(path)
+    rows = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+    left, right, new = np.array(rows, dtype=np.int64).reshape(-1, 3).T
+    lowest = np.full(max(ranks.values(), default=0) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(lowest, left, new)
+    np.minimum.at(lowest, right, new)
+    return ranks, (left << 32) + right, new, lowest[new] > new
+
+
 class ByteBpe:
-    """One tokenizer in one worker."""
+    """One tokenizer in one task."""
 
     def __init__(self, path: str, pattern: str):
         import re
@@ -65,19 +87,19 @@ class ByteBpe:
         import duckdb
         import regex
 
-        self.ranks = read_ranks(path)
+        self.ranks, pair, new, safe = merge_table(path)
         self.findall = regex.compile(pattern).findall
         self.runs_of_space = re.compile(r"\s\s|[\x00\x1c-\x1f]").search
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
-        rows = [((self.ranks[t[:i]] << 32) + self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
-        self._table("merges", pair=pa.array([r[0] for r in rows], pa.int64()), id=pa.array([r[1] for r in rows], pa.int64()))
+        self._table("merges", pair=pa.array(pair), id=pa.array(new), safe=pa.array(safe))
         self._table("vocabulary", id=pa.array(list(self.ranks.values()), pa.int64()), piece=pa.array([t.decode("latin-1") for t in self.ranks]))
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
-        self.words = Pool(self._words, 200_000)
-        self.pieces = Pool(self._pieces, 200_000)
+        self.words = Pool(self._words, 100_000)
+        self.pieces = Pool(self._pieces, 100_000)
 
-    def release(self) -> None:
-        """Forgets the words of a finished task: a worker may go on to tasks of other stages, which need the memory."""
+    def close(self) -> None:
+        """A worker goes on to tasks of other stages, which need the memory."""
+        self.db.close()
         self.words.clear()
         self.pieces.clear()
 
@@ -88,48 +110,38 @@ class ByteBpe:
 
     def _merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         n = np.fromiter(map(len, words), np.int64, len(words))
-        k = (np.repeat(np.arange(len(words)), n) << 8) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        self.db.register("seq", pa.table({"k": k, "id": self.byte[np.frombuffer(b"".join(words), dtype=np.uint8)]}))
-        got = self.db.sql(_MERGE).to_arrow_table()
-        self.db.unregister("seq")
-        return got.column(1).to_numpy(), np.bincount(got.column(0).to_numpy(), minlength=len(words))
-
-    def _heap(self, word: bytes) -> list[int]:
-        parts: list[bytes | None] = [word[i : i + 1] for i in range(len(word))]
-        after, before = list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
-        heap = [(self.ranks[word[i : i + 2]], i, 2) for i in range(len(word) - 1) if word[i : i + 2] in self.ranks]
-        heapq.heapify(heap)
-        while heap:
-            _, i, size = heapq.heappop(heap)
-            j = after[i] if parts[i] is not None else len(word)
-            if j >= len(word) or len(parts[i]) + len(parts[j]) != size:
-                continue
-            parts[i], parts[j] = parts[i] + parts[j], None
-            after[i] = after[j]
-            if after[i] < len(word):
-                before[after[i]] = i
-            for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b < len(word) and (rank := self.ranks.get(parts[a] + parts[b])) is not None:
-                    heapq.heappush(heap, (rank, a, len(parts[a]) + len(parts[b])))
-        return [self.ranks[p] for p in parts if p is not None]
+        k = (np.repeat(np.arange(len(words)), n) << 24) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        ids, done = self.byte[np.frombuffer(b"".join(words), dtype=np.uint8)], []
+        while len(k):
+            rounds = max(16, ROUND_ROWS // len(k))
+            self.db.register("seq", pa.table({"k": k, "id": ids}))
+            got = self.db.sql(_MERGE.format(rounds=rounds)).to_arrow_table()
+            self.db.unregister("seq")
+            k, ids, more = got.column(0).to_numpy(), got.column(1).to_numpy(), got.column(2).to_numpy() >= rounds
+            done.append((k[~more], ids[~more]))
+            k, ids = k[more], ids[more]
+        k, ids = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(k, kind="stable")
+        return ids[order], np.bincount(k >> 24, minlength=len(words))
 
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct pre-tokens."""
         raw = [w.encode() for w in words]
         known = np.fromiter((self.ranks.get(b, -1) for b in raw), np.int64, len(raw))
-        long = np.fromiter(map(len, raw), np.int64, len(raw)) > LONG
-        counts, parts, at = np.ones(len(raw), dtype=np.int64), [], np.flatnonzero((known < 0) & ~long)
-        for i in range(0, len(at), QUERY_WORDS):
-            part = at[i : i + QUERY_WORDS]
-            ids, counts[part] = self._merge([raw[j] for j in part.tolist()])
+        counts, parts, at = np.ones(len(raw), dtype=np.int64), [], np.flatnonzero(known < 0)
+        size = np.fromiter((len(raw[i]) for i in at), np.int64, len(at))
+        # the longer ones last: words of one query take about as many rounds
+        at = at[np.argsort(size, kind="stable")]
+        total, i = np.cumsum(np.sort(size)), 0
+        while i < len(at):
+            j = max(i + 1, min(i + QUERY_WORDS, int(np.searchsorted(total, (total[i - 1] if i else 0) + QUERY_BYTES, side="right"))))
+            ids, counts[at[i:j]] = self._merge([raw[x] for x in at[i:j].tolist()])
             parts.append(ids)
-        heaps = np.flatnonzero((known < 0) & long)
-        slow, counts[heaps] = joined([self._heap(raw[j]) for j in heaps.tolist()])
-        out = np.empty(int(counts.sum()), dtype=np.int64)
-        kind = np.repeat(np.where(known >= 0, 0, np.where(long, 2, 1)), counts)
-        out[kind == 0], out[kind == 2] = known[known >= 0], slow
+            i = j
+        out, ends = np.empty(int(counts.sum()), dtype=np.int64), np.cumsum(counts)
+        out[ends[known >= 0] - 1] = known[known >= 0]
         if parts:
-            out[kind == 1] = np.concatenate(parts)
+            out[ragged(ends[at] - counts[at], counts[at])] = np.concatenate(parts)
         return out, counts
 
     def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -167,22 +179,18 @@ class ByteBpe:
         return out
 
 
-@cache
-def byte_bpe(path: str, pattern: str) -> ByteBpe:
-    return ByteBpe(path, pattern)
-
-
 def _encoding(path: str, pattern: str):
+    @lean
     def run(batches):
-        bpe = byte_bpe(path, pattern)
-        for batch in batches:
-            ids = batch.column(0)
-            column = batch.column(1).cast(pa.large_string()).fill_null("")
-            for i, n, _, _ in text_steps(column):
-                flat, counts = bpe.encode(column.slice(i, n).to_pylist())
-                offsets = np.r_[0, np.cumsum(counts) * 4].astype(np.int64)
-                data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.astype("<u4").tobytes())])
-                yield pa.RecordBatch.from_arrays([ids.slice(i, n), pa.array(counts, pa.int64()), data.cast(pa.binary())], names=["doc_id", "n_tokens", "ids"])
+        with closing(ByteBpe(path, pattern)) as bpe:
+            for batch in batches:
+                ids = batch.column(0)
+                column = batch.column(1).cast(pa.large_string()).fill_null("")
+                for i, n, _, _ in text_steps(column):
+                    flat, counts = bpe.encode(column.slice(i, n).to_pylist())
+                    offsets = np.r_[0, np.cumsum(counts) * 4].astype(np.int64)
+                    data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.astype("<u4").tobytes())])
+                    yield pa.RecordBatch.from_arrays([ids.slice(i, n), pa.array(counts, pa.int64()), data.cast(pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
     return run
 
@@ -194,19 +202,20 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def _decoding(path: str, pattern: str, limit: int):
+    @lean
     def run(batches):
-        bpe = byte_bpe(path, pattern)
-        for batch in batches:
-            runs = [np.frombuffer(x or b"", dtype="<u4") for x in batch.column(2).to_pylist()]
-            texts, at = [], 0
-            while at < len(runs):
-                end, total = at, 0
-                while end < len(runs) and (end == at or total + len(runs[end]) <= limit):
-                    total += len(runs[end])
-                    end += 1
-                texts += bpe.decode(np.concatenate(runs[at:end]), np.array([len(r) for r in runs[at:end]]))
-                at = end
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, "decoded"])
+        with closing(ByteBpe(path, pattern)) as bpe:
+            for batch in batches:
+                runs = [np.frombuffer(x or b"", dtype="<u4") for x in batch.column(2).to_pylist()]
+                texts, at = [], 0
+                while at < len(runs):
+                    end, total = at, 0
+                    while end < len(runs) and (end == at or total + len(runs[end]) <= limit):
+                        total += len(runs[end])
+                        end += 1
+                    texts += bpe.decode(np.concatenate(runs[at:end]), np.array([len(r) for r in runs[at:end]]))
+                    at = end
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, "decoded"])
 
     return run
 
@@ -217,17 +226,17 @@ def decode_documents(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def _both(path: str, pattern: str):
+    @lean
     def run(batches):
-        bpe = byte_bpe(path, pattern)
-        for batch in batches:
-            column = batch.column(1).cast(pa.large_string()).fill_null("")
-            for i, n, _, _ in text_steps(column):
-                flat, counts = bpe.encode(column.slice(i, n).to_pylist())
-                ids, ends = flat.astype("<u4"), np.cumsum(counts)
-                runs = [ids[e - c : e].tobytes() for c, e in zip(counts.tolist(), ends.tolist(), strict=True)]
-                decoded = [hashlib.sha256(x).hexdigest() for x in bpe.decode(flat, counts)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.array(counts, pa.int64()), pa.array(runs, pa.binary()), pa.array(decoded)], names=["doc_id", "n_tokens", "ids", "decoded_sha256"])
-        bpe.release()
+        with closing(ByteBpe(path, pattern)) as bpe:
+            for batch in batches:
+                column = batch.column(1).cast(pa.large_string()).fill_null("")
+                for i, n, _, _ in text_steps(column, TEXT_BYTES):
+                    flat, counts = bpe.encode(column.slice(i, n).to_pylist())
+                    ids, ends = flat.astype("<u4"), np.cumsum(counts)
+                    runs = [ids[e - c : e].tobytes() for c, e in zip(counts.tolist(), ends.tolist(), strict=True)]
+                    decoded = [hashlib.sha256(x).hexdigest() for x in bpe.decode(flat, counts)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.array(counts, pa.int64()), pa.array(runs, pa.binary()), pa.array(decoded)], names=["doc_id", "n_tokens", "ids", "decoded_sha256"])
 
     return run
 

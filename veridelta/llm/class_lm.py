@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _LOWER, find_words, hash_words, mix, space_bytes, stored, text_batches, text_steps
+from .common import _LOWER, find_words, hash_words, lean, mix, space_bytes, stored, text_batches, text_steps
 
 TOP, SHAPES, CLASSES = 1024, 256, 48
 #: Sweeps of exchange clustering at most.
@@ -48,6 +48,7 @@ def _shapes(raw: np.ndarray, starts: np.ndarray, lens: np.ndarray, shapes: int)
 
 
 def _chunks(fold: int, of: int, shapes: int):
+    @lean
     def run(batches):
         part, k = TaskContext.get().partitionId(), 0
         for batch in batches:
@@ -88,6 +89,7 @@ _SUMS_SQL = "chunk string, bucket int, counts binary, top_words array<long>, top
 def _parts(buckets: int):
     """A chunk's vocabulary in slices of the hash space."""
 
+    @lean
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
@@ -147,6 +149,7 @@ def _sequence(c: Chunk, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _bigrams(top):
+    @lean
     def run(batches):
         words, order, k = top.value
         total = None

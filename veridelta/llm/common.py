@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import tempfile
 import uuid
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +23,11 @@ _LONG = 48  # bytes; longer words are hashed one by one
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a local one is set only where none is named."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where none is named, a local session gets one of its own; a cluster must name one, as its machines share no temporary folder."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="veridelta-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -33,10 +38,49 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: the lineage ends there and lost executors cost nothing."""
-    path = shared_path(df.sparkSession, name)
+    """Writes df as a table in the shared folder and reads it back: the lineage ends there and lost executors cost nothing.
+
+    What the job shuffled is not needed any more; collecting the driver's garbage lets Spark's cleaner delete it."""
+    spark, schema = df.sparkSession, df.schema
+    path = shared_path(spark, name)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+    out = spark.read.schema(schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing lazy reads any more."""
+    for t in tables:
+        jvm, at = t.sparkSession.sparkContext._jvm, t.stored_at
+        path = jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free() -> None:
+    """Gives a worker's unused memory back: workers live on between tasks, several of them beside one executor's heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
+def lean(run):
+    """A function of batches for mapInArrow whose worker gives its memory back at the task's end."""
+
+    @wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            free()
+
+    return wrapped
 
 
 def text_batches(spark: SparkSession, rows: int = 1000) -> None:

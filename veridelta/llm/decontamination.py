@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import alnum_bytes, find_words, hash_text_words, hash_words, stored, text_batches, text_steps
+from .common import alnum_bytes, find_words, hash_text_words, hash_words, lean, stored, text_batches, text_steps
 
 #: Words of a window of a benchmark item.
 WINDOW = 13
@@ -35,6 +35,7 @@ _SPANS = "segment string, row int, doc_id long, n_words long, starts array<int>,
 _NAMES = [x.split()[0] for x in _INDEX.split(", ")]
 
 
+@lean
 def _segments(batches):
     part, k = TaskContext.get().partitionId(), 0
     for batch in batches:
@@ -156,6 +157,7 @@ def _match(segment: Segment, phrases: Phrases) -> dict[int, tuple[np.ndarray, np
 
 
 def _spans_of(phrases):
+    @lean
     def run(batches):
         query = phrases.value
         for batch in batches:
@@ -213,6 +215,7 @@ def proximity_matches(index: DataFrame, benchmark: DataFrame, slop: int = 20, pa
     for items in item_passes(benchmark, pass_bytes):
         held = spark.sparkContext.broadcast([(i, np.unique(hash_text_words(t, alnum_bytes()))) for i, t in items])
 
+        @lean
         def run(batches, held=held):
             for batch in batches:
                 for row in batch.to_pylist():

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import lean, stored
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -35,6 +35,7 @@ def edge_batch(u, v) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(u, dtype=np.int64)), pa.array(np.asarray(v, dtype=np.int64))], names=["u", "v"])
 
 
+@lean
 def _contract(batches):
     u, v = np.zeros(0, np.int64), np.zeros(0, np.int64)
     held: list = []

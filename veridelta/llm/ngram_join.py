@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import find_words, hash_words, ragged, shingle_hashes, space_bytes, stored, text_batches, text_steps
+from .common import find_words, hash_words, lean, ragged, shingle_hashes, space_bytes, stored, text_batches, text_steps
 from .graph import components, forest
 
 SIZE = 5
@@ -69,6 +69,7 @@ def document_sets(ids: np.ndarray, column: pa.Array, size: int = SIZE):
 
 
 def _signatures(size: int):
+    @lean
     def run(batches):
         seen: dict[bytes, int] = {}
         for batch in batches:
@@ -126,6 +127,7 @@ def _of_doc(docs: np.ndarray, blocks: int) -> np.ndarray:
 def _columns(size: int, blocks: int):
     """Entries of each partition's distinct sets, by column block."""
 
+    @lean
     def run(batches):
         seen: set[bytes] = set()
         for batch in batches:
@@ -195,6 +197,7 @@ def _candidates(percent: int):
 
 
 def _rare_columns(blocks: int):
+    @lean
     def run(batches):
         for batch in batches:
             rare = [unpack48(x) for x in batch.column(2).to_pylist()]
@@ -272,6 +275,7 @@ def linked(docs: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], percent:
 def _verified(percent: int):
     """Links of blocks; a partition's rows are sorted by (component, low, high)."""
 
+    @lean
     def run(batches):
         key, docs, sizes, sets = None, [], [], []
 

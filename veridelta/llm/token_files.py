@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ragged, shared_path, text_batches, text_steps
+from .common import lean, ragged, shared_path, text_batches, text_steps
 from .pool import Pool, joined
 
 SAMPLE_DOCS = 256
@@ -70,7 +70,7 @@ class TextEncoder:
 
     def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         model, shown = self.tok.model.tokenize, self.shown
-        return joined([[] if p == "\n" else [t.id for t in model(p if p.isascii() else p.encode().decode("latin-1").translate(shown))] for p in pieces])
+        return joined([[] if p == "\n" else [t.id for t in model(p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(shown))] for p in pieces])
 
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         plain = np.array([w.isascii() or bool(self.latin(w)) for w in words]) & self.plain
@@ -125,6 +125,7 @@ def _file_system(path: str):
 
 
 def _writer(folder: str, tokenizer: str, end_id: int | None, dtype: str, dictionary):
+    @lean
     def run(batches):
         shard, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         fs, base = _file_system(folder)
@@ -177,8 +178,11 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     spark = docs.sparkSession
     text_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
-    sample = docs.where(f"length(text) BETWEEN 1 AND {SAMPLE_BYTES}").select("text", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(SAMPLE_DOCS).select("text")
-    dictionary = train_dictionary([r[0] for r in sample.collect()], tokenizer, end_id, dtype)
+    # first the smallest hashes, numbers only; then the texts of those few
+    hashed = docs.where(f"octet_length(text) BETWEEN 1 AND {SAMPLE_BYTES}").withColumn("h", F.xxhash64("doc_id"))
+    few = [r[0] for r in hashed.select("h").orderBy("h").limit(SAMPLE_DOCS).collect()]
+    sample = sorted((r["h"], r["text"]) for r in hashed.where(F.col("h").isin(few)).select("h", "text").distinct().orderBy("h", "text").limit(SAMPLE_DOCS).collect()) if few else []
+    dictionary = train_dictionary([t for _, t in sample], tokenizer, end_id, dtype)
     fs, base = _file_system(folder)
     fs.create_dir(base, recursive=True)
     with fs.open_output_stream(f"{base}/dictionary.zstd") as out:
@@ -240,6 +244,7 @@ class TokenFile:
             k = j
 
 
+@lean
 def _digests(batches):
     for batch in batches:
         for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import stored, text_batches, text_steps
+from .common import lean, stored, text_batches, text_steps
 
 SAMPLE_ROWS = 20_000
 #: Features that the regression sees, and in how many toxic texts of the sample each must occur.
@@ -166,6 +166,7 @@ def _strings(column: pa.Array) -> list[str]:
     return column.cast(pa.large_string()).fill_null("").to_pylist()
 
 
+@lean
 def _chars(batches):
     total = np.zeros(_N**3, dtype=np.int64)
     for batch in batches:
@@ -181,6 +182,7 @@ def _text_features(text: str, restorer: Restorer) -> set[str]:
 
 
 def _positive(chars):
+    @lean
     def run(batches):
         restorer, count = Restorer(chars.value), {}
         for batch in batches:
@@ -196,6 +198,7 @@ def _positive(chars):
 
 
 def _vectors(chars, names):
+    @lean
     def run(batches):
         restorer, index = Restorer(chars.value), names.value
         for batch in batches:
@@ -208,6 +211,7 @@ def _vectors(chars, names):
 def _placed(place):
     """Vectors of the chosen features only."""
 
+    @lean
     def run(batches):
         for batch in batches:
             rows = [r[r >= 0] for r in (place.value[np.array(x, dtype=np.int64)] for x in batch.column(1).to_pylist())]
@@ -279,6 +283,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> T
 
 
 def _scoring(model, text_at: int, name: str):
+    @lean
     def run(batches):
         scorer = Scorer(model.value)
         for batch in batches:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import read_ranks
-from .common import text_batches, text_steps
+from .common import lean, text_batches, text_steps
 from .pool import Pool
 
 
@@ -101,6 +101,7 @@ def trie_counter(path: str, pattern: str) -> TrieCounter:
 
 
 def _counting(path: str, pattern: str):
+    @lean
     def run(batches):
         counter = trie_counter(path, pattern)
         for batch in batches:
