@@ -183,9 +183,10 @@ def test_stages_on_repeated_ids(spark):
     passage = words("p", 60)
     rows = [(1, passage), (2, words("a", 20) + " " + passage), (2, words("a", 20) + " " + passage), (3, words("b", 15) + " " + passage), (3, words("c", 70)), (4, passage + " " + words("d", 9)), (4, "short"), (5, passage + " end"), (5, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    # the equal rows hold each other's 50-word windows that begin before the passage, whose first place is theirs
-    left = words("a", 20) + " " + words("p", 49)
-    assert (2, 80, 80, 11) in S.passages_brute(rows)
+    # exact windows alone would leave the equal rows 49 words of the passage (their own windows that begin before it come
+    # first there); as a passage of 60 words it is doc 1's
+    left = words("a", 20)
+    assert (2, 80, 80, 11) in S.passages_brute(rows) and (2, 80, 60, 60) in S.near_brute(rows[:2])
     want = [(1, passage), (2, left), (2, left), (3, words("b", 15)), (3, words("c", 70)), (4, words("d", 9)), (4, "short"), (5, "end"), (5, None)]
     assert got(S.stage_repeated_passages(spark, df, ""), "doc_id", "text") == sorted(want, key=repr)
     rows = [(1, words("a", 30)), (1, words("a", 30)), (2, words("a", 30)), (3, words("c", 30)), (3, words("b", 30)), (None, "x"), (None, "x"), (4, None), (4, None)]

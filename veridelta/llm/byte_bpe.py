@@ -260,7 +260,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' ids, and the hash of what they decode to."""
+    """(doc_id, n_tokens, ids, decoded_sha256): one row for each document; its text and other columns end here."""
     return _public(docs)
 
 

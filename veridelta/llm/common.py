@@ -192,3 +192,11 @@ def ragged(values_first: np.ndarray, counts: np.ndarray) -> np.ndarray:
     total = int(counts.sum())
     ends = np.cumsum(counts)
     return np.arange(total) - np.repeat(ends - counts, counts) + np.repeat(values_first, counts)
+
+
+def fresh(name: str, columns) -> str:
+    """The name, with underscores until no column has it (in either case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import alnum_bytes, find_words, hash_text_words, hash_words, lean, stored, text_batches, text_steps
+from .common import alnum_bytes, find_words, fresh, hash_text_words, hash_words, lean, stored, text_batches, text_steps
 
 #: Words of a window of a benchmark item.
 WINDOW = 13
@@ -246,9 +246,21 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are not contaminated."""
-    bad = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select(F.col("doc_id").alias("bad_id"))
-    return docs.join(bad, docs["doc_id"] == F.col("bad_id"), "left_anti")
+    """The documents that are not contaminated: of rows that share a doc_id those with another text stay. Rows without a
+    doc_id stay; all columns stay."""
+    own, mark = fresh("bad_id", docs.columns), fresh("bad_text", docs.columns)
+    text = lambda c: F.md5(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select(F.col("doc_id").alias(own)).distinct()
+    # only rows of these ids are told apart by text: an id with several rows is looked up once more by its texts
+    hit = docs.join(found, docs["doc_id"].cast("long") == found[own], "left_semi")
+    several = hit.groupBy(F.col("doc_id").cast("long").alias(own)).agg(F.count_distinct(text("text")).alias("n")).where("n > 1").select(own)
+    texts = stored(hit.join(several, hit["doc_id"].cast("long") == several[own], "left_semi").select(F.col("doc_id").cast("long").alias(own), F.col("text").cast("string").alias("text")).distinct().withColumn("doc_id", F.monotonically_increasing_id()), "texts-of-ids")
+    clean = contamination(texts.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("NOT contaminated").select(F.col("doc_id").alias("n"))
+    stay = texts.join(clean, texts["doc_id"] == clean["n"]).select(own, text("text").alias(mark))
+    out = docs.join(found, docs["doc_id"].cast("long") == found[own], "left_anti")
+    back = docs.join(stay, (docs["doc_id"].cast("long") == stay[own]) & (text("text") == stay[mark]), "left_semi")
+    return out.unionByName(back)
 
 
 def contamination_brute(docs: list[tuple], items: list[tuple], window: int = WINDOW) -> list[tuple]:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import find_words, hash_words, lean, ragged, shingle_hashes, space_bytes, stored, text_batches, text_steps
+from .common import find_words, fresh, hash_words, lean, ragged, shingle_hashes, space_bytes, stored, text_batches, text_steps
 from .graph import components, forest
 
 SIZE = 5
@@ -335,13 +335,14 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component: the one with the smallest doc_id (rows without one stay, repeated rows of it go to one: the one whose text sorts first)."""
-    away = jaccard_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = docs.join(away, docs["doc_id"] == F.col("gone_id"), "left_anti")
+    gone, own, rank = (fresh(x, docs.columns) for x in ("gone_id", "several_id", "rank_of_row"))
+    away = jaccard_components(docs.select("doc_id", "text")).where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
+    kept = docs.join(away, docs["doc_id"].cast("long") == away[gone], "left_anti")
     # only the rows of ids that several rows hold travel
-    several = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("several_id")).agg(F.count("*").alias("several_rows")).where("several_rows > 1").select("several_id")
-    same = kept["doc_id"] == several["several_id"]
-    ranked = kept.join(several, same, "left_semi").withColumn("rank_of_row", F.row_number().over(W.partitionBy("doc_id").orderBy("text", F.to_json(F.struct(*docs.columns)))))
-    return kept.join(several, same, "left_anti").unionByName(ranked.where("rank_of_row = 1").drop("rank_of_row"))
+    several = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(own)).agg(F.count("*").alias("n")).where("n > 1").select(own)
+    same = kept["doc_id"] == several[own]
+    ranked = kept.join(several, same, "left_semi").withColumn(rank, F.row_number().over(W.partitionBy("doc_id").orderBy("text", F.to_json(F.struct(*docs.columns)))))
+    return kept.join(several, same, "left_anti").unionByName(ranked.where(F.col(rank) == 1).drop(rank))
 
 
 def jaccard_brute(docs: list[tuple], size: int = SIZE, percent: int = PERCENT) -> list[tuple]:

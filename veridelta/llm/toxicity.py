@@ -1,13 +1,13 @@
 """Toxicity by noisy-channel deobfuscation.
 
 A token that looks disguised (digits or signs among its letters, a letter three times in a row, letters set apart by
-spaces or signs) is taken as the output of a noisy channel: every character stands for itself, for the letters it
+white space, underscores or signs) is taken as the output of a noisy channel: every character stands for itself, for the letters it
 resembles, or for nothing (a separator, or one more of the letter before). The Viterbi path through this lattice under
 a character trigram model is the restored word. Restored texts are scored by a logistic regression on their words and
 the beginnings of words.
 
 The model is fitted on at most sample_rows labelled rows (those of the smallest hash of doc_id, one of each equal
-text); the character model is trained on the same rows' words. Scoring reads every whole text.
+text). The character model counts the letters of all documents. Scoring reads every whole text.
 
 Defined cases: a null or empty text has no words and gets the model's base score; rows keep their doc_id, null or
 repeated; a label row without doc_id or toxic takes no part in fitting; without any label, or with one class only, the
@@ -25,13 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import lean, stored, text_batches, text_steps
+from .common import fresh, lean, stored, text_batches, text_steps
 
 SAMPLE_ROWS = 20_000
-#: Features that the regression sees, and in how many toxic texts of the sample each must occur.
-FEATURES, LEAST = 4000, 5
-#: Candidates for these.
-CANDIDATES = 40_000
+#: In how many toxic texts of the sample a feature must occur, and the least log odds times root of its texts: bounds
+#: by evidence; how many features pass is bounded by the sample alone.
+LEAST, EVIDENCE = 5, 2.0
 
 #: What a sign or digit can stand for.
 LEET = {
@@ -43,12 +42,18 @@ _LETTER = re.compile(f"[{LETTERS}]")
 _RUNS = re.compile(r"[^\W\d_]+")
 _THRICE = re.compile(r"([^\W\d_])\1\1")
 _MIXED = re.compile(r"[^\W\d_][^\w\s]*[0-9@$!|+(<€£¥*#%]|[0-9@$!|+(<€£¥*#%][^\w\s]*[^\W\d_]")
-_APART = re.compile(r"(?<![^\W_])(?:[^\W_][^\w\s]+){3,}[^\W_](?![^\W_])")
-_SPACED = re.compile(r"(?<!\S)(?:[^\s,;:] ){3,}[^\s](?=[\s.,;:!?]|$)")
+_APART = re.compile(r"(?<![^\W_])(?:[^\W_](?:[^\w\s]|_)+){3,}[^\W_](?![^\W_])")
+_SPACED = re.compile(r"(?<!\S)(?:[^\s,;:]\s{1,3}){3,}[^\s](?=[\s.,;:!?]|$)")
+_APART_WORD = re.compile(r"[^\W\d_][^\w\s]+[^\W\d_]|[^\W\d]_+[^\W\d]")
+_SIGNS = re.compile(r"[\W_]+")
+#: What stands for white space in a run of single letters.
+GAP = "\x1f"
 _STRIP = ".,;:?\"'()[]{}<>…«»“”„-–—"
 #: Costs in natural logarithms: a letter for a sign that resembles it, such a sign for nothing, another sign for nothing,
 #: a repeated letter for nothing. What goes also saves its letter's own cost, so the second and the last are high.
 SWAP, SKIP, DROP, AGAIN = 1.0, 9.0, 0.5, 3.5
+#: A word's end at a separator inside a run of single letters.
+BREAK = 1.0
 _CLASS = np.zeros(0x250, dtype=np.int64)
 for _i, _c in enumerate(LETTERS):
     _CLASS[ord(_c)] = _i + 2
@@ -64,6 +69,17 @@ def trigram_counts(words: list[str]) -> np.ndarray:
     return np.bincount((cls[:-2] * _N + cls[1:-1]) * _N + cls[2:], minlength=_N**3)
 
 
+def text_trigrams(text: str) -> np.ndarray:
+    """trigram_counts of all runs of letters of a text in lower case: edges are what isn't a letter."""
+    code = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    cls = np.where(code < len(_CLASS), _CLASS[np.minimum(code, len(_CLASS) - 1)], 0)
+    cls = np.where((cls == 0) & (code >= 0x100), 1, cls)
+    # one more edge between words, so that none looks into the word before
+    edge = np.flatnonzero(cls == 0)
+    cls = np.insert(np.r_[0, 0, cls, 0, 0], np.minimum(edge + 2, len(cls) + 2), 0)
+    return np.bincount((cls[:-2] * _N + cls[1:-1]) * _N + cls[2:], minlength=_N**3)
+
+
 class CharModel:
     """Interpolated character trigrams; log probabilities."""
 
@@ -86,6 +102,10 @@ class CharModel:
             before = ch
             after: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (cost, text) in states.items():
+                if ch == GAP and text and not text.endswith(" "):
+                    total = cost + BREAK - log[a][b][0]
+                    if (0, 0) not in after or after[(0, 0)][0] > total:
+                        after[(0, 0)] = (total, text + " ")
                 if skip is not None and ((a, b) not in after or after[(a, b)][0] > cost + skip):
                     after[(a, b)] = (cost + skip, text)
                 for x, extra in options:
@@ -102,19 +122,23 @@ class Restorer:
     """Words of texts with disguised ones restored. What it has restored it keeps, for a bounded number of tokens."""
 
     model: CharModel
-    limit: int = 200_000
+    limit: int = 50_000
     kept: dict[str, list[str]] = field(default_factory=dict)
 
     def words_of(self, token: str) -> list[str]:
         """The words that a token, in lower case and without white space, stands for."""
         core = token.strip(_STRIP).rstrip("!*")
-        if not (_MIXED.search(core) or _THRICE.search(core) or _APART.search(core)):
-            return _RUNS.findall(core)
+        if GAP not in core and not (_MIXED.search(core) or _THRICE.search(core) or _APART.search(core)):
+            words = _RUNS.findall(core)
+            # a word split by signs is read as one too
+            if len(words) > 1 and _APART_WORD.search(core):
+                words.append(_SIGNS.sub("", core))
+            return words
         if (got := self.kept.get(core)) is None:
             if len(self.kept) >= self.limit:
                 self.kept.clear()
             whole = self.model.restore(core)
-            got = self.kept[core] = [*([whole] if whole else []), *_RUNS.findall(core)]
+            got = self.kept[core] = [*whole.split(), *_RUNS.findall(core)]
         return got
 
     @staticmethod
@@ -122,7 +146,7 @@ class Restorer:
         low = text.lower()
         found = set(low.split())
         for m in _SPACED.finditer(low):
-            found.add(m[0].replace(" ", "."))
+            found.add(re.sub(r"\s", GAP, re.sub(r"\s{2,}", GAP * 2, m[0])))
         return found
 
 
@@ -141,7 +165,7 @@ class ToxicModel:
 class Scorer:
     """One model in one worker."""
 
-    def __init__(self, model: ToxicModel, limit: int = 400_000):
+    def __init__(self, model: ToxicModel, limit: int = 100_000):
         self.model, self.restorer, self.limit = model, Restorer(model.chars), limit
         self.nothing: set[str] = set()
         self.hits: dict[str, tuple[str, ...]] = {}
@@ -170,9 +194,8 @@ def _strings(column: pa.Array) -> list[str]:
 def _chars(batches):
     total = np.zeros(_N**3, dtype=np.int64)
     for batch in batches:
-        for at, n, _, _ in text_steps(batch.column(1)):
-            words = {w for t in _strings(batch.column(1).slice(at, n)) for w in _RUNS.findall(t.lower())}
-            total += trigram_counts(list(words))
+        for at, n, _, _ in text_steps(batch.column(0), 1 << 20):
+            total += text_trigrams(" ".join(_strings(batch.column(0).slice(at, n))).lower())
     k = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], names=["k", "n"])
 
@@ -254,7 +277,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> T
     held = sample.groupBy("toxic").count().collect()
     n = {r["toxic"]: r["count"] for r in held}
     counts = np.zeros(_N**3, dtype=np.int64)
-    for r in sample.mapInArrow(_chars, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
+    for r in texts.select("text").mapInArrow(_chars, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
         counts[r["k"]] = r["n"]
     chars = CharModel(counts)
     share = (n.get(1, 0) + 0.5) / (sum(n.values()) + 1)
@@ -262,14 +285,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> T
         return ToxicModel({}, float(np.log(share / (1 - share))), chars)
     chars_b = spark.sparkContext.broadcast(chars)
     seen = sample.where("toxic = 1").mapInArrow(_positive(chars_b), "f string, n long").groupBy("f").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
-    names = [r["f"] for r in seen.orderBy(F.desc("n"), "f").limit(CANDIDATES).collect()]
+    names = [r["f"] for r in seen.orderBy(F.desc("n"), "f").collect()]
     index = spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})
     vectors = stored(sample.mapInArrow(_vectors(chars_b, index), "toxic int, x array<int>"), "vectors")
     pos, both = np.zeros(len(names)), np.zeros(len(names))
     for f, p, k in vectors.select("toxic", F.explode("x").alias("f")).groupBy("f").agg(F.sum("toxic"), F.count("*")).collect():
         pos[f], both[f] = p, k
     odds = np.log((pos + 0.5) / (n[1] + 1)) - np.log((both - pos + 0.5) / (n[0] + 1))
-    best = np.argsort(-np.abs(odds) * np.sqrt(both), kind="stable")[:FEATURES]
+    best = np.flatnonzero(np.abs(odds) * np.sqrt(both) >= EVIDENCE)
     place = np.full(len(names), -1)
     place[best] = np.arange(len(best))
     got = vectors.mapInArrow(_placed(spark.sparkContext.broadcast(place)), "toxic int, x array<int>").toArrow()
@@ -315,7 +338,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that aren't scored as toxic; every other row and all columns stay."""
     model = fit(docs, _train_rows(spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    name = "toxic_score"
-    while name in docs.columns:
-        name += "_"
+    name = fresh("toxic_score", docs.columns)
     return score(docs, model, name).where(F.col(name) < 0.5).drop(name)
