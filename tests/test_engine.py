@@ -285,3 +285,30 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("SELECT sum(n), count(*) FROM bins").first() == (100, 25)
+
+
+def test_text_times_with_zones(spark):
+    from veridelta.functions.columns import utc_time
+
+    rows = ["2026-01-01 12:00:00+05:00", "2026-01-01T12:00:00Z", "2026-01-01 12:00:00", "2026-03-08 02:30:00", "2026-01-01", "soon", None]
+    df = spark.createDataFrame([(t,) for t in rows], "t string")
+    for zone, local in (("UTC", "2026-01-01 12:00:00"), ("America/New_York", "2026-01-01 17:00:00")):
+        got = [r[0] for r in df.select(utc_time("t", df.schema["t"].dataType, zone).cast("string")).collect()]
+        assert got[:3] == ["2026-01-01 07:00:00", "2026-01-01 12:00:00", local] and got[5:] == [None, None]
+        assert (got[3] is None) == (zone != "UTC")
+
+
+def test_cross_slices_of_clashing_columns(spark):
+    rows = [(i, float(i), i + 1.0, i + 2.0, "ab"[i % 2], "cd"[i // 2 % 2]) for i in range(8)]
+    df = spark.createDataFrame(rows, "id int, actual double, a double, b double, seg string, x string")
+    c = v.compare_predictions(df, "actual", "a", "b", id_column="id")
+    want = [("a", "c", 2), ("a", "d", 2), ("b", "c", 2), ("b", "d", 2)]
+    assert sorted((r["x"], r["y"], r["n"]) for r in c.cross_slice("seg", "x").collect()) == want
+    assert sorted((r["x"], r["y"], r["row_count"]) for r in c.cross_slice_test("seg", "x", v.InferenceConfig(unit="record")).collect()) == want
+
+
+def test_saved_prediction_without_the_model_s(spark):
+    from veridelta.operators.models import inconsistent_predictions
+
+    df = spark.createDataFrame([(1, 1.0, 1.0), (2, None, 1.0), (3, 1.0, None), (4, None, None), (5, 1.0, 1.1)], "k int, s double, m double")
+    assert sorted(r.k for r in inconsistent_predictions(df, "k", "s", "m").collect()) == [2, 3, 5]

@@ -12,6 +12,10 @@ from pyspark.sql.types import DataType, DateType, NumericType, StringType, Times
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
+#: A time of day, then Z, an offset or a zone's name.
+_ZONED = r"\d:\d{2}(:\d{2}(\.\d+)?)?\s*([Zz]|[+-]\d{1,2}(:?\d{2})?|UTC|GMT|[A-Z][A-Za-z_]+/[A-Za-z_/]+)\s*$"
+
+
 def finite(c: Column) -> Column:
     """NULL for NaN and infinities."""
     return F.when(~F.isnan(c) & (F.abs(c) < F.lit(math.inf)), c)
@@ -26,11 +30,17 @@ def num(name: str, kind: DataType) -> Column:
 
 
 def utc_time(name: str, kind: DataType, zone: str) -> Column:
-    """A column as a UTC instant. Local times that a clock change skips or repeats are NULL."""
+    """A column as a UTC instant. Local times that a clock change skips or repeats are NULL. A text that names its own
+    zone or offset is that instant; other texts are local times, row by row."""
     c = F.col(f"`{name}`")
     if isinstance(kind, TimestampType):
         return c
-    local = c.try_cast("timestamp_ntz") if isinstance(kind, StringType) else c.cast("timestamp_ntz")
+    if isinstance(kind, StringType):
+        return F.when(c.rlike(_ZONED), c.try_cast("timestamp")).otherwise(_from_local(c.try_cast("timestamp_ntz"), zone))
+    return _from_local(c.cast("timestamp_ntz"), zone)
+
+
+def _from_local(local: Column, zone: str) -> Column:
     if zone == "UTC":
         return local.cast("timestamp")
     wall = local.cast("timestamp")  # the session runs in UTC

@@ -45,7 +45,7 @@ def paired_tests(rows: DataFrame, keys: list[str], config: InferenceConfig, min_
     cell = cell.withColumns({"t_statistic": F.when(ok, finite(F.try_divide(F.col("mean_loss_difference"), se))), "df": F.when(ok, (n - 1).cast("double")), "se": F.when(ok, se)})
     cell = cell.withColumns({"p_value": p_value(F.col("t_statistic"), F.col("df")), "half": t_quantile(config.alpha, F.col("df")) * F.col("se")})
     cell = cell.withColumns({"p_value": finite(F.col("p_value")), "ci_low": finite(F.col("mean_loss_difference") - F.col("half")), "ci_high": finite(F.col("mean_loss_difference") + F.col("half"))})
-    cell = cell.withColumn("status", F.when(ok & F.col("p_value").isNull(), "invalid_result").otherwise(F.col("status")))
+    cell = cell.withColumn("status", F.when(ok & (F.greatest(*[F.col(c).isNull() for c in ("p_value", "t_statistic", "ci_low", "ci_high")]) | finite(F.col("mean_loss_difference")).isNull()), "invalid_result").otherwise(F.col("status")))
     out = corrected(cell, config.correction)
     q = F.col("q_value")
     out = out.withColumns({

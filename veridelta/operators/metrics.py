@@ -74,7 +74,8 @@ def slice_metrics(rows: DataFrame, spec: Slice, **options) -> DataFrame:
 def cross_metrics(rows: DataFrame, x: Slice, y: Slice, **options) -> DataFrame:
     if x.column == y.column:
         raise ValueError("the two slices need two columns")
-    return metrics(with_label(with_label(rows, x, "x"), y, "y"), ["x", "y"], **options)
+    # named x and y only after grouping: the data may have such columns, and y may be one of them
+    return metrics(with_label(with_label(rows, x, "__x"), y, "__y"), ["__x", "__y"], **options).withColumnsRenamed({"__x": "x", "__y": "y"})
 
 
 def daily(rows: DataFrame, **options) -> DataFrame:

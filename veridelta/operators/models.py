@@ -57,9 +57,10 @@ def score_models(df: DataFrame, models: list[Model]) -> tuple[DataFrame, list[st
 
 
 def inconsistent_predictions(df: DataFrame, key: str, saved: str, again: str, rtol: float = 1e-7, atol: float = 1e-8) -> DataFrame:
-    """Rows whose saved prediction isn't the model's."""
+    """Rows whose saved prediction isn't the model's; one without the other isn't either."""
     a, b = F.col(f"`{saved}`"), F.col(f"`{again}`")
-    return df.where(~(F.abs(a - b) <= F.lit(atol) + F.lit(rtol) * F.abs(b))).select(key, saved, again)
+    close = F.coalesce(F.abs(a - b) <= F.lit(atol) + F.lit(rtol) * F.abs(b), F.lit(False))
+    return df.where(~(a.eqNullSafe(b) | close)).select(key, saved, again)
 
 
 def cohort(df: DataFrame, key: list, max_rows: int, seed: int) -> DataFrame:

@@ -113,6 +113,12 @@ def _temporal(make, digits: int = 9):
     return lambda s, d: tidy(make(temporal.clock_series(events(s, d).candidate_rows, config), config), digits)
 
 
+def q_mean_shift(spark: SparkSession, sf: str) -> DataFrame:
+    """Days of any support, short segments and a low penalty: the data have no large shifts."""
+    config = TemporalConfig("1D", min_bin_count=1, min_segment_bins=2, change_penalty=0.1)
+    return tidy(temporal.mean_shifts(temporal.clock_series(events(spark, sf).candidate_rows, config), config), 9)
+
+
 def q_event_lags(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(temporal.event_lags(events(spark, sf).candidate_rows, 5))
 
@@ -187,7 +193,7 @@ def _features(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_permutation(spark: SparkSession, sf: str) -> DataFrame:
     model = models.Model("weights", _Weights(), ("f0", "f1", "f2", "f3"))
-    out = models.permutation_importance(_features(spark, sf), "target", model, key="vec_id", groups={"f0+f1": ["f0", "f1"]}, max_rows=400, repeats=3)
+    out = models.permutation_importance(_features(spark, sf), "target", model, key="vec_id", groups={"f0+f1": ["f0", "f1"]}, max_rows=50_000)
     return tidy(out.tables["importance"])
 
 
@@ -243,7 +249,7 @@ QUERIES = {
     "clock_series": _temporal(lambda series, config: series.drop("bin")),
     "clock_acf": _temporal(temporal.autocorrelation),
     "spectrum": _temporal(lambda series, config: temporal.spectrum(series, config)[0], 6),
-    "mean_shift": _temporal(temporal.mean_shifts),
+    "mean_shift": q_mean_shift,
     "event_lags": q_event_lags,
     "intraday_bins": q_intraday,
     "residual_view": _view("residual"),

@@ -86,8 +86,8 @@ class Comparison:
         a, b = metrics.as_slice(x), metrics.as_slice(y)
         if a.column == b.column:
             raise ValueError("the two slices need two columns")
-        rows = metrics.with_label(metrics.with_label(self.rows, a, "x"), b, "y")
-        return inference.paired_tests(rows, ["x", "y"], (config or InferenceConfig()).resolved(self.roles), min_count)
+        rows = metrics.with_label(metrics.with_label(self.rows, a, "__x"), b, "__y")
+        return inference.paired_tests(rows, ["__x", "__y"], (config or InferenceConfig()).resolved(self.roles), min_count).withColumnsRenamed({"__x": "x", "__y": "y"})
 
     # candidate tables
     def candidate_diagnostics(self, slices: list | None = None, *, population: str = "candidate", min_count: int = 30, top_n: int = 20, bins: int = 10) -> dict[str, DataFrame]:
