@@ -9,7 +9,8 @@ that holds a third of the data is many tasks; the queries are a stated set that
 keeps the best of all lists that a query probes before anything is sent.
 
 Defined cases: vectors that are null, zero, of another length than the index's or hold null or non-finite components
-take no part, nor do rows without an id; ties go to the smaller id; repeated rows of one id count once; a query with
+take no part, nor do rows without an id; ties go to the smaller id; repeated rows of one id are one
+candidate, with the vector nearest to the query, and one query, with its smallest vector; a query with
 fewer candidates than k gets them all (classes beyond the reranked ones aside); empty tables give no rows.
 """
 
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 from .common import lean, ragged, stored, text_batches
 
 SAMPLE = 20_000
-#: Classes of a group of the index, and queries of a block.
-GROUP, BLOCK = 262_144, 1024
+#: Classes of a group of the index, and queries of a block at least and at most: a block holds some megabytes, and the
+#: index is copied once for each.
+GROUP, BLOCKS = 262_144, (256, 16_384)
 #: Parts of a vector, and codewords of each.
 PARTS, WORDS = 16, 256
 #: Share of the lists that a query probes, and classes reranked for each query.
@@ -187,16 +189,20 @@ def search(index: Index, queries: DataFrame, probed: float = PROBED, reranked: i
     spark = index.classes.sparkSession
     quantiser = spark.sparkContext.broadcast(index.quantiser)
     named = index.classes.select(F.col("class_id").alias("query"), "v")
-    asked = stored(queries.select("id", "v").dropDuplicates(["id"]).join(named, "v").select("id", "query"), "queries")
+    asked = stored(queries.groupBy("id").agg(F.min("v").alias("v")).join(named, "v").select("id", "query"), "queries")
     wanted = stored(named.join(asked.select("query").distinct(), "query", "left_semi"), "query-classes")
-    groups, blocks = max(1, -(-index.n // GROUP)), max(1, -(-wanted.count() // BLOCK))
+    groups, n = max(1, -(-index.n // GROUP)), wanted.count()
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    blocks = max(1, -(-n // min(max(-(-n * groups // tasks), BLOCKS[0]), BLOCKS[1])))
+    # a group is a random part of the index: its share of the best, half as many again and some more
+    keep = min(reranked, -(-reranked * 3 // (2 * groups)) + 64)
     left = wanted.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     right = index.rows.withColumn("group", F.pmod(F.xxhash64("class_id"), F.lit(groups)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = left.groupBy("group", "block").cogroup(right.groupBy("group", "block")).applyInArrow(_scan(quantiser, probed, reranked), _FOUND)
+    found = left.groupBy("group", "block").cogroup(right.groupBy("group", "block")).applyInArrow(_scan(quantiser, probed, keep), _FOUND)
     short = found.withColumn("r", F.row_number().over(W.partitionBy("query").orderBy(F.desc("near"), "class_id"))).where(F.col("r") <= reranked).select("query", "class_id")
     exact = short.join(index.classes, "class_id").join(wanted.withColumnRenamed("v", "q"), "query")
     exact = exact.select("query", "ids", F.expr("aggregate(zip_with(q, v, (a, b) -> a * b), 0D, (a, x) -> a + x)").alias("score"))
-    ids = exact.withColumn("vec_id", F.explode("ids")).withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= index.k + 1)
+    ids = exact.withColumn("vec_id", F.explode("ids")).groupBy("query", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= index.k + 1)
     best = ids.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id", "score"))).alias("best"))
     own = F.expr(f"slice(filter(best, x -> x.vec_id <> id), 1, {index.k})")
     return asked.join(best, "query").select(F.col("id").alias("query_id"), F.posexplode(own).alias("p", "x")).select("query_id", (F.col("p") + 1).alias("rank"), "x.vec_id", "x.score")
