@@ -303,3 +303,62 @@ def test_components(spark):
     assert found == {n: find(n) for n in root if find(n) != n}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
     assert json.dumps(found) is not None
+
+
+def test_every_code_point_keeps_its_ids():
+    from tokenizers import Tokenizer
+
+    from veridelta.llm.token_files import TextEncoder
+
+    path = P.path("word_bpe_49k.json")
+    tok, own = Tokenizer.from_file(path), TextEncoder(path)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3000 or c % 97 == 0)]
+    rows = [f"a{chr(c)}b {chr(c)} {chr(c)}{chr(c)}x" for c in points]
+    flat, counts = own.encode(rows)
+    ends = np.cumsum(counts)
+    assert [hex(c) for c, t, e, k in zip(points, rows, ends, counts, strict=True) if flat[e - k : e].tolist() != tok.encode(t, add_special_tokens=False).ids] == []
+    assert own.encode(["\x00a b\x00"])[0].tolist() == [444, 320, 321, 444]
+
+
+def test_long_pretokens():
+    import tiktoken
+
+    from veridelta.llm import byte_bpe as B
+
+    path, rnd = P.path("byte_bpe_50k.tiktoken"), random.Random(8)
+    want = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=B.read_ranks(path), special_tokens={})
+    own = B.ByteBpe(path, P.PATTERN)
+    for text in ["x" * 5000, "ab" * 20_000, "-" * 999 + "x", "".join(rnd.choice("etaoinshrdlu") for _ in range(3000)), "".join(chr(rnd.randrange(0x4E00, 0x5E00)) for _ in range(2000))]:
+        flat, counts = own.encode([text, "", "plain words"])
+        assert flat[: counts[0]].tolist() == want.encode_ordinary(text) and own.decode(flat, counts)[0] == text.encode()
+    own.close()
+
+
+def test_disguises():
+    from veridelta.llm import toxicity as X
+
+    model = X.CharModel(X.text_trigrams(" ".join(["you are a stupid idiot", "the moron is a liar and i am an idiot too"] * 50)))
+    words = lambda t: {w for k in X.Restorer.tokens(t) for w in X.Restorer(model).words_of(k)}
+    for text in ("you are a i d i o t ok", "i_d_i_o_t", "id.iot", "1d1ot", "i\td\ti\to\tt"):
+        assert "idiot" in words(text), text
+    assert {"you", "are", "stupid"} <= words("y o u a r e s t u p i d") and {"stupid", "idiot"} <= words("s t u p i d  i d i o t now") and "stupid" in words("stu-pid")
+    assert words("a plain text, well-known") == {"a", "plain", "text", "well", "known", "wellknown"}
+
+
+def test_stages_with_clashing_columns(spark, tmp_path):
+    from veridelta.llm import decontamination as D
+    from veridelta.llm import ngram_join as J
+    from veridelta.llm import passages as S
+
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    spark.createDataFrame([("i1", words("b", 13))], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, words("b", 15)), (1, words("c", 70)), (2, words("c", 70)), (3, None), (None, words("b", 15)), (4, "")]
+    names = ["bad_id", "bad_text", "gone_id", "several_id", "rank_of_row", "id_of_spans", "md5_of_spans", "spans_away"]
+    df = spark.createDataFrame([(*r, *["z"] * len(names)) for r in rows], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names)).repartition(2)
+    left = D.stage_decontamination(spark, df, str(tmp_path))
+    # of the two rows of doc 1 the one with another text stays
+    assert left.columns == df.columns and got(left, "doc_id", "text") == sorted([r for r in rows if r != rows[0]], key=repr)
+    for stage in (J.stage_ngram_join, S.stage_repeated_passages):
+        kept = stage(spark, df, str(tmp_path))
+        assert kept.columns == df.columns and kept.count() >= 4
+        assert stage(spark, df.limit(0), str(tmp_path)).count() == 0
