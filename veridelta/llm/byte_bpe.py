@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding by DuckDB queries inside each partition.
 
 Encoding: the rows (word, position, token) of distinct pre-tokens join the merge table; a recursive query contracts
-each word's leftmost pair of minimum rank until no word has a pair left. One round contracts all pairs of a word's
-minimum rank from the left, as one after the other would, where no merge with the new token has a lower rank (a fixed
-property of the merge table); otherwise the leftmost alone. Only the newest ROUND_ROWS rows or so are kept: a word that
+each word's leftmost pair of minimum rank until no word has a pair left. For longer words a round contracts all pairs of
+the minimum rank from the left, as one after the other would, where no merge with the new token has a lower rank (a
+fixed property of the merge table); otherwise the leftmost alone. Only the newest ROUND_ROWS rows or so are kept: a word that
 needs more rounds goes on from its newest round. Decoding: the rows (document, position, id) join the vocabulary and are
 aggregated in the order of their positions.
 
@@ -31,7 +31,7 @@ from .common import lean, ragged, text_batches, text_steps
 from .pool import Pool
 
 #: Distinct pre-tokens of one recursive query, and their bytes.
-QUERY_WORDS, QUERY_BYTES = 20_000, 150_000
+QUERY_WORDS, QUERY_BYTES = 20_000, 400_000
 #: Rows that the rounds of one query hold together.
 ROUND_ROWS = 2_000_000
 #: Text that is encoded and decoded at once.
@@ -58,6 +58,23 @@ WITH RECURSIVE step AS (
 )
 SELECT step.k, step.id, b.n FROM step JOIN (SELECT k >> 24 AS w, max(n) AS n FROM step GROUP BY 1) b ON b.w = step.k >> 24 AND b.n = step.n ORDER BY step.k
 """
+#: The same with one pair a round: fewer joins, for words of few rounds.
+_MERGE_ONE = """
+WITH RECURSIVE step AS (
+  SELECT k, id, 0 AS n FROM seq
+  UNION ALL
+  (WITH p AS MATERIALIZED (
+     SELECT k, id, n, k >> 24 AS w, lag(k) OVER o AS before, lead(k) OVER o AS after, lead(id) OVER o AS next_id FROM step WINDOW o AS (ORDER BY k)),
+   b AS (
+     SELECT p.w, min((m.id << 24) | (p.k & 16777215)) AS best FROM p JOIN merges m ON m.pair = (p.id << 32) + p.next_id
+     WHERE p.after >> 24 = p.w AND p.n < {rounds} GROUP BY 1)
+   SELECT p.k, CASE WHEN p.k & 16777215 = b.best & 16777215 THEN b.best >> 24 ELSE p.id END, p.n + 1
+   FROM p JOIN b ON b.w = p.w WHERE p.before IS NULL OR p.before <> ((b.w << 24) | (b.best & 16777215)))
+)
+SELECT step.k, step.id, b.n FROM step JOIN (SELECT k >> 24 AS w, max(n) AS n FROM step GROUP BY 1) b ON b.w = step.k >> 24 AND b.n = step.n ORDER BY step.k
+"""
+#: Bytes of the longest word that goes one pair a round.
+FEW = 48
 _DECODE = "SELECT d, string_agg(piece, '') AS s FROM (SELECT d, piece FROM tokens JOIN vocabulary USING (id) ORDER BY k) GROUP BY d"
 
 
@@ -94,8 +111,8 @@ class ByteBpe:
         self._table("merges", pair=pa.array(pair), id=pa.array(new), safe=pa.array(safe))
         self._table("vocabulary", id=pa.array(list(self.ranks.values()), pa.int64()), piece=pa.array([t.decode("latin-1") for t in self.ranks]))
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
-        self.words = Pool(self._words, 100_000)
-        self.pieces = Pool(self._pieces, 100_000)
+        self.words = Pool(self._words, 200_000)
+        self.pieces = Pool(self._pieces, 200_000)
 
     def close(self) -> None:
         """A worker goes on to tasks of other stages, which need the memory."""
@@ -115,7 +132,7 @@ class ByteBpe:
         while len(k):
             rounds = max(16, ROUND_ROWS // len(k))
             self.db.register("seq", pa.table({"k": k, "id": ids}))
-            got = self.db.sql(_MERGE.format(rounds=rounds)).to_arrow_table()
+            got = self.db.sql((_MERGE if n.max() > FEW else _MERGE_ONE).format(rounds=rounds)).to_arrow_table()
             self.db.unregister("seq")
             k, ids, more = got.column(0).to_numpy(), got.column(1).to_numpy(), got.column(2).to_numpy() >= rounds
             done.append((k[~more], ids[~more]))
@@ -131,10 +148,12 @@ class ByteBpe:
         counts, parts, at = np.ones(len(raw), dtype=np.int64), [], np.flatnonzero(known < 0)
         size = np.fromiter((len(raw[i]) for i in at), np.int64, len(at))
         # the longer ones last: words of one query take about as many rounds
-        at = at[np.argsort(size, kind="stable")]
-        total, i = np.cumsum(np.sort(size)), 0
+        at, size = at[np.argsort(size, kind="stable")], np.sort(size)
+        total, i = np.cumsum(size), 0
         while i < len(at):
             j = max(i + 1, min(i + QUERY_WORDS, int(np.searchsorted(total, (total[i - 1] if i else 0) + QUERY_BYTES, side="right"))))
+            few = int(np.searchsorted(size, FEW, side="right"))
+            j = few if i < few < j else j
             ids, counts[at[i:j]] = self._merge([raw[x] for x in at[i:j].tolist()])
             parts.append(ids)
             i = j
