@@ -1,13 +1,15 @@
 """Language-model scoring by Brown's class-based bigrams.
 
-Words are symbols: the TOP most frequent training words have one each, any other word shares one of SHAPES symbols with
-the words of the same ending and beginning. Exchange clustering (moving one symbol at a time to the class where the
-class bigrams' likelihood is highest) assigns the symbols to classes. A token's probability is the class transition's
-times the symbol's emission by its class, times the word's share of its symbol; it is interpolated with the add-half
-unigram. All counts are over every training text.
+Every training word has a class. The most frequent words (seeds) and, standing for all others, symbols of the words'
+endings and beginnings are clustered by exchange: one symbol at a time moves to the class where the class bigrams'
+likelihood is highest. Then each other word of the training texts goes, by its own counts of the classes before and after
+it, to the class under which these are likeliest; this runs on the executors, in buckets of the hash space. Classes and
+seeds grow with the training tokens. A token's probability is the class transition's times the word's emission by its
+class (add-half, with a place for unknown words); it is interpolated with the add-half unigram. An unknown word has the
+class of its spelling's symbol. All counts are over every training text.
 
-Texts are coded once, in chunks of some megabytes with their own vocabularies. The words' counts are summed over chunks
-in buckets of the hash space and go back to each chunk, so that no vocabulary is held in one place.
+Texts are coded once, in chunks of some megabytes with their own vocabularies. Words' contexts are summed within a task
+first, then over chunks in buckets; counts and classes go back to each chunk, so that no vocabulary is held in one place.
 
 Defined cases: a null or empty text is the end token alone; rows without a doc_id take no part; repeated rows are
 separate texts; without training rows every word is unknown and scores 0; other columns are ignored; an empty table
@@ -26,16 +28,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _LOWER, find_words, hash_words, lean, mix, space_bytes, stored, text_batches, text_steps
+from .common import _LOWER, discard, find_words, hash_words, lean, mix, space_bytes, stored, text_batches, text_steps
 
-TOP, SHAPES, CLASSES = 1024, 256, 48
+#: Words of the exact exchange at least, spelling symbols, classes at least.
+SEEDS, SHAPES, CLASSES = 1024, 256, 48
 #: Sweeps of exchange clustering at most.
 SWEEPS = 12
 #: Weight of the class model against the unigram.
 CLASS_WEIGHT = 0.9
 #: Vocabulary entries of chunks in a bucket of the hash space.
-BUCKET_ENTRIES = 1_000_000
-_CHUNK = "chunk string, doc_ids binary, train binary, n_words binary, vocabulary binary, shapes binary, counts binary, codes binary"
+BUCKET_ENTRIES = 500_000
+#: Context counts that a task sums up before it sends them.
+HELD_CONTEXTS = 2_000_000
+_CHUNK = "chunk string, tokens long, doc_ids binary, train binary, n_words binary, vocabulary binary, shapes binary, counts binary, codes binary"
 _NAMES = [x.split()[0] for x in _CHUNK.split(", ")]
 
 
@@ -59,13 +64,19 @@ def _chunks(fold: int, of: int, shapes: int):
                 docs = ids[at : at + n]
                 train = np.array([zlib.crc32(str(d).encode()) % of != fold for d in docs.tolist()])
                 counts = np.bincount(codes[np.repeat(train, np.diff(first))], minlength=len(vocabulary))
-                row = (f"{part}-{k}", docs.astype("<i8"), train.astype("u1"), np.diff(first).astype("<i8"), vocabulary.astype("<u8"), _shapes(raw, starts[where], lens[where], shapes).astype("<u2"), counts.astype("<u4"), codes.astype("<u4"))
+                row = (f"{part}-{k}", int(counts.sum() + train.sum()), docs.astype("<i8"), train.astype("u1"), np.diff(first).astype("<i8"), vocabulary.astype("<u8"), _shapes(raw, starts[where], lens[where], shapes).astype("<u2"), counts.astype("<u4"), codes.astype("<u4"))
                 k += 1
-                yield pa.RecordBatch.from_arrays([pa.array([row[0]]), *[pa.array([x.tobytes()], pa.binary()) for x in row[1:]]], names=_NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array([row[0]]), pa.array([row[1]], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in row[2:]]], names=_NAMES)
 
     return run
 
 
+def sizes_for(tokens: int) -> tuple[int, int]:
+    """Seeds and classes for so many training tokens: classes grow with their fourth root, so that the table of class pairs grows with the square root."""
+    classes = max(CLASSES, round(tokens**0.25))
+    return max(SEEDS, 4 * classes), classes
+
+
 @dataclass
 class Chunk:
     doc_ids: np.ndarray
@@ -78,12 +89,20 @@ class Chunk:
 
     @classmethod
     def of(cls, row: dict) -> Chunk:
-        return cls(*[np.frombuffer(row[k], t) for k, t in zip(_NAMES[1:], ("<i8", "u1", "<i8", "<u8", "<u2", "<u4", "<u4"), strict=True)])
+        return cls(*[np.frombuffer(row[k], t) for k, t in zip(_NAMES[2:], ("<i8", "u1", "<i8", "<u8", "<u2", "<u4", "<u4"), strict=True)])
 
 
 _PART = pa.schema([("bucket", pa.int32()), ("chunk", pa.string()), ("words", pa.binary()), ("shapes", pa.binary()), ("counts", pa.binary())])
-_SUMS = pa.schema([("chunk", pa.string()), ("bucket", pa.int32()), ("counts", pa.binary()), ("top_words", pa.list_(pa.int64())), ("top_counts", pa.list_(pa.int64())), ("top_shapes", pa.list_(pa.int64())), ("shape_tokens", pa.list_(pa.int64())), ("shape_types", pa.list_(pa.int64()))])
-_SUMS_SQL = "chunk string, bucket int, counts binary, top_words array<long>, top_counts array<long>, top_shapes array<long>, shape_tokens array<long>, shape_types array<long>"
+_PART_SQL = "bucket int, chunk string, words binary, shapes binary, counts binary"
+_TOP_SQL = "top_words array<long>, top_counts array<long>, top_shapes array<long>, shape_tokens array<long>, shape_types array<long>"
+_CONTEXT = pa.schema([("bucket", pa.int32()), ("words", pa.binary()), ("sizes", pa.binary()), ("contexts", pa.binary()), ("counts", pa.binary())])
+_CONTEXT_SQL = "bucket int, words binary, sizes binary, contexts binary, counts binary"
+_BACK_SQL = "chunk string, bucket int, counts binary, classes binary, types array<long>"
+
+
+def _cuts(words: np.ndarray, buckets: int) -> np.ndarray:
+    """Where the buckets of the hash space begin and end among sorted words."""
+    return np.searchsorted(((words >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1))
 
 
 def _parts(buckets: int):
@@ -94,8 +113,7 @@ def _parts(buckets: int):
         for batch in batches:
             for row in batch.to_pylist():
                 c = Chunk.of(row)
-                bucket = ((c.vocabulary >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-                cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+                cuts = _cuts(c.vocabulary, buckets)
                 rows = [(b, row["chunk"], c.vocabulary[i:j].tobytes(), c.shapes[i:j].tobytes(), c.counts[i:j].tobytes()) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _PART.types, strict=True)], schema=_PART)
@@ -103,25 +121,18 @@ def _parts(buckets: int):
     return run
 
 
-def _sums(top: int, shapes: int):
-    """Of a bucket: each chunk's words' counts in all chunks; and the bucket's own most frequent words and shape counts."""
+def _tops(top: int, shapes: int):
+    """A bucket's most frequent training words and its words' counts by spelling symbol."""
 
     def run(key, table):
-        words = [np.frombuffer(x, "<u8") for x in table.column("words").to_pylist()]
-        flat = np.concatenate(words)
+        flat = np.frombuffer(b"".join(table.column("words").to_pylist()), "<u8")
         own, first, code = np.unique(flat, return_index=True, return_inverse=True)
         total = np.bincount(code, np.frombuffer(b"".join(table.column("counts").to_pylist()), "<u4"), len(own)).astype(np.int64)
         shape = np.frombuffer(b"".join(table.column("shapes").to_pylist()), "<u2")[first].astype(np.int64)
-        ends = np.cumsum([len(w) for w in words])
-        counts = [x.astype("<i8").tobytes() for x in np.split(total[code], ends[:-1])]
-        bucket = table.column("bucket").to_pylist()
         best = np.lexsort((own, -total))[:top]
         best = best[total[best] > 0]
-        n = len(words)
-        return pa.table([
-            pa.array([*table.column("chunk").to_pylist(), None]), pa.array([*bucket, bucket[0]], pa.int32()), pa.array([*counts, None], pa.binary()),
-            *[pa.array([*[None] * n, x], pa.list_(pa.int64())) for x in (own[best].view(np.int64), total[best], shape[best], np.bincount(shape, total, shapes).astype(np.int64), np.bincount(shape[total > 0], minlength=shapes))],
-        ], schema=_SUMS)
+        out = (own[best].view(np.int64), total[best], shape[best], np.bincount(shape, total, shapes).astype(np.int64), np.bincount(shape[total > 0], minlength=shapes))
+        return pa.table([pa.array([x], pa.list_(pa.int64())) for x in out], names=[x.split()[0] for x in _TOP_SQL.split(", ")])
 
     return run
 
@@ -216,35 +227,29 @@ def exchange(counts: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -
 
 
 @dataclass
-class ClassModel:
-    """What scoring needs; bounded by the number of symbols."""
+class Seeds:
+    """The exchange's result; bounded by the number of its symbols."""
 
-    top_words: np.ndarray  # sorted hashes
+    words: np.ndarray  # sorted hashes
     order: np.ndarray  # their symbols less 1
-    transition: np.ndarray  # log10 of class given class before
+    counts: np.ndarray  # their training counts, by hash
     of: np.ndarray  # class by symbol
-    emission: np.ndarray  # log10 of symbol given class
-    shape_tokens: np.ndarray  # of words that aren't top words
-    shape_types: np.ndarray
+    pair: np.ndarray  # training tokens of each class after each class
     tokens: int  # N
     types: int  # V
     texts: int
 
+    def classes(self, c: Chunk) -> np.ndarray:
+        return self.of[_symbols(c, self.words, self.order)]
+
 
-def train(chunks: DataFrame, sums: DataFrame, top: int = TOP, shapes: int = SHAPES, classes: int = CLASSES) -> ClassModel:
+def seed_classes(chunks: DataFrame, tops: DataFrame, seeds: int, shapes: int, classes: int) -> Seeds:
     spark = chunks.sparkSession
-    own = sums.where("chunk IS NULL")
-    shape = {r[0]: (r[1], r[2]) for r in own.select(F.posexplode(F.arrays_zip("shape_tokens", "shape_types"))).groupBy("pos").agg(F.sum("col.shape_tokens"), F.sum("col.shape_types")).collect()}
-    zipped = own.select(F.explode(F.arrays_zip("top_words", "top_counts", "top_shapes")).alias("t"))
-    best = zipped.select("t.*").orderBy(F.desc("top_counts"), "top_words").limit(top).collect()
+    shape = {r[0]: (r[1], r[2]) for r in tops.select(F.posexplode(F.arrays_zip("shape_tokens", "shape_types"))).groupBy("pos").agg(F.sum("col.shape_tokens"), F.sum("col.shape_types")).collect()}
+    zipped = tops.select(F.explode(F.arrays_zip("top_words", "top_counts")).alias("t"))
+    best = zipped.select("t.*").orderBy(F.desc("top_counts"), "top_words").limit(seeds).collect()
     words = np.array([r[0] for r in best], dtype=np.int64).view(np.uint64)
     order = np.argsort(words)
-    tokens = np.array([shape.get(i, (0, 0))[0] for i in range(shapes)], dtype=np.int64)
-    types = np.array([shape.get(i, (0, 0))[1] for i in range(shapes)], dtype=np.int64)
-    n_words, n_types = int(tokens.sum()), int(types.sum())
-    for _, count, s in best:
-        tokens[s] -= count
-        types[s] -= 1
     k = 1 + len(words) + shapes
     held = spark.sparkContext.broadcast((words[order], order, k))
     got = chunks.mapInArrow(_bigrams(held), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
@@ -254,65 +259,217 @@ def train(chunks: DataFrame, sums: DataFrame, top: int = TOP, shapes: int = SHAP
     of = exchange(counts, classes)
     member = np.zeros((k, classes))
     member[np.arange(k), of] = 1
-    pair = member.T @ counts @ member
-    transition = np.log10((pair + 0.1) / (pair.sum(1, keepdims=True) + 0.1 * classes))
-    symbol = counts.sum(0)
-    in_class = member.T @ symbol
-    emission = np.log10((symbol + 0.1) / (in_class[of] + 0.1 * member.sum(0)[of]))
     texts = int(counts[:, 0].sum())
-    return ClassModel(words[order], order, transition, of, emission, tokens, types, n_words + texts, n_types + (texts > 0), texts)
+    n_words, n_types = sum(x for x, _ in shape.values()), sum(x for _, x in shape.values())
+    return Seeds(words[order], order, np.array([r[1] for r in best], dtype=np.int64)[order], of, member.T @ counts @ member, n_words + texts, n_types + (texts > 0), texts)
+
+
+def _merged(held: list[tuple], buckets: int) -> pa.RecordBatch:
+    """Context counts of several chunks as one row for each bucket that has any."""
+    words, contexts, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+    by = np.lexsort((contexts, words))
+    words, contexts, counts = words[by], contexts[by], counts[by]
+    first = np.flatnonzero(np.r_[True, (words[1:] != words[:-1]) | (contexts[1:] != contexts[:-1])])
+    words, contexts, counts = words[first], contexts[first], np.add.reduceat(counts, first)
+    start = np.flatnonzero(np.r_[True, words[1:] != words[:-1]])
+    own, sizes = words[start], np.diff(np.r_[start, len(words)])
+    cuts, ends = _cuts(own, buckets), np.r_[0, np.cumsum(sizes)]
+    rows = [(b, own[i:j].tobytes(), sizes[i:j].astype("<u4").tobytes(), contexts[ends[i] : ends[j]].astype("<u2").tobytes(), counts[ends[i] : ends[j]].astype("<u8").tobytes()) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _CONTEXT.types, strict=True)], schema=_CONTEXT)
+
+
+def _contexts(seeds, buckets: int):
+    """Of each training word that is no seed, how many tokens of each class stand before it (a context of that number) and after it (that number plus the classes)."""
+
+    @lean
+    def run(batches):
+        s, held, size = seeds.value, [], 0
+        k = len(s.pair)
+        for batch in batches:
+            for row in batch.to_pylist():
+                c = Chunk.of(row)
+                symbol = _symbols(c, s.words, s.order)
+                sequence, entry, doc = _sequence(c, symbol)
+                cls = s.of[sequence].astype(np.int64)
+                train = c.train.astype(bool)[doc]
+                at = np.flatnonzero(train & (sequence > len(s.words)))
+                # each text begins behind an end and ends with one, so both neighbours of a word are in its own text or ends
+                before = np.where(at > 0, cls[at - 1], 0)
+                key, n = np.unique(np.r_[entry[at] * (2 * k) + before, entry[at] * (2 * k) + k + cls[at + 1]], return_counts=True)
+                held.append((c.vocabulary[key // (2 * k)], (key % (2 * k)).astype(np.uint16), n))
+                size += len(n)
+                if size > HELD_CONTEXTS:
+                    yield _merged(held, buckets)
+                    held, size = [], 0
+        if size:
+            yield _merged(held, buckets)
+
+    return run
+
+
+def likeliest(words: np.ndarray, contexts: np.ndarray, counts: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """The class under which each word's neighbours are likeliest. words: 0.. ascending, one entry for each of its contexts.
+
+    With a word's tokens in class b, the bigrams' log-likelihood holds, for each token before it of class a, log P(b | a)
+    and, for each after it of class c, log P(c | b), and for each of its own tokens -log of b's tokens. Class 0 is the end's."""
+    k = len(pair)
+    chance = np.log((pair + 0.1) / (pair.sum(1, keepdims=True) + 0.1 * k))
+    by_context = np.concatenate([chance - np.log(pair.sum(0) + 1), chance.T])
+    by_context[:, 0] = -np.inf
+    start = np.flatnonzero(np.r_[True, words[1:] != words[:-1]])
+    out = np.zeros(len(start), dtype=np.int64)
+    step = max(1, 4_000_000 // k)  # contexts at once
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(start, start[i] + step, side="right")) - 1)
+        end = start[j] if j < len(start) else len(words)
+        weighed = by_context[contexts[start[i] : end]] * counts[start[i] : end, None]
+        out[i:j] = np.add.reduceat(weighed, start[i:j] - start[i], axis=0).argmax(1)
+        i = j
+    return out
+
+
+def _assigned(seeds):
+    """A bucket's training words get their classes; each chunk's slice gets its words' counts and classes. A row without a chunk holds how many words each class got."""
+
+    def run(key, left, right):
+        s = seeds.value
+        k = len(s.pair)
+        own = total = of = np.zeros(0, dtype=np.int64)
+        if len(right):
+            get = lambda name, kind: np.frombuffer(b"".join(right.column(name).to_pylist()), kind)
+            word, context, n = np.repeat(get("words", "<u8"), get("sizes", "<u4")), get("contexts", "<u2"), get("counts", "<u8").astype(np.int64)
+            by = np.lexsort((context, word))
+            word, context, n = word[by], context[by], n[by]
+            own, code = np.unique(word, return_inverse=True)
+            total = np.bincount(code, n * (context < k), len(own)).astype(np.int64)
+            of = likeliest(code, context, n, s.pair)
+        chunk, counts, classes = left.column("chunk").to_pylist(), [], []
+        for words, shapes in zip(left.column("words").to_pylist(), left.column("shapes").to_pylist(), strict=True):
+            words, shapes = np.frombuffer(words, "<u8"), np.frombuffer(shapes, "<u2")
+            count, cls = np.zeros(len(words), dtype=np.int64), s.of[1 + len(s.words) + shapes.astype(np.int64)]
+            for found, their_counts, their_classes in ((own, total, of), (s.words, s.counts, s.of[1 + s.order])):
+                if len(found):
+                    at = np.minimum(np.searchsorted(found, words), len(found) - 1)
+                    hit = found[at] == words
+                    count[hit], cls[hit] = their_counts[at[hit]], their_classes[at[hit]]
+            counts.append(count.astype("<i8").tobytes())
+            classes.append(cls.astype("<u2").tobytes())
+        bucket = [*left.column("bucket").to_pylist(), None]
+        types = [*[None] * len(chunk), np.bincount(of, minlength=k)]
+        return pa.table([pa.array([*chunk, None], pa.string()), pa.array(bucket, pa.int32()), pa.array([*counts, None], pa.binary()), pa.array([*classes, None], pa.binary()), pa.array(types, pa.list_(pa.int64()))], names=["chunk", "bucket", "counts", "classes", "types"])
+
+    return run
+
+
+_CLASSED = f"{_CHUNK}, totals binary, classes binary"
+
 
+def _joined(key, left, right):
+    parts = sorted(zip(*[right.column(x).to_pylist() for x in ("bucket", "counts", "classes")], strict=True))
+    totals, classes = (b"".join(x[i] for x in parts) for i in (1, 2))
+    n = len(left)
+    return left.append_column("totals", pa.array([totals] * n, pa.binary())).append_column("classes", pa.array([classes] * n, pa.binary()))
 
-def score_chunk(c: Chunk, counts: np.ndarray, m: ClassModel, weight: float = CLASS_WEIGHT) -> list[np.ndarray]:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of a chunk's texts."""
-    symbol = _symbols(c, m.top_words, m.order)
-    sequence, entry, doc = _sequence(c, symbol)
+
+def _class_of_token(c: Chunk, row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    of = np.frombuffer(row["classes"], "<u2").astype(np.int64)
+    return _sequence(c, of)
+
+
+def _class_counts(classes: int):
+    """Training tokens of each class after each class."""
+
+    @lean
+    def run(batches):
+        total = np.zeros(classes * classes, dtype=np.int64)
+        for batch in batches:
+            for row in batch.to_pylist():
+                c = Chunk.of(row)
+                cls, _, doc = _class_of_token(c, row)
+                train = c.train.astype(bool)[doc]
+                total += np.bincount(np.r_[0, cls[:-1]][train] * classes + cls[train], minlength=classes * classes)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "n"])
+
+    return run
+
+
+@dataclass
+class ClassModel:
+    """What scoring needs besides the words' counts and classes; bounded by the number of classes."""
+
+    transition: np.ndarray  # log10 of class given class before
+    class_tokens: np.ndarray
+    class_types: np.ndarray
+    tokens: int  # N
+    types: int  # V
+    texts: int
+
+
+def score_chunk(row: dict, m: ClassModel, weight: float = CLASS_WEIGHT) -> list[np.ndarray]:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of a chunk's texts."""
+    c, totals = Chunk.of(row), np.frombuffer(row["totals"], "<i8")
+    cls, entry, doc = _class_of_token(c, row)
     n = len(c.doc_ids)
-    count = np.where(entry >= 0, counts[entry] if len(counts) else 0, m.texts)
+    count = np.where(entry >= 0, totals[entry] if len(totals) else 0, m.texts)
     base = np.log10((count + 0.5) / (m.tokens + 0.5 * (m.types + 1)))
-    cls = m.of[sequence]
     first = np.r_[True, doc[1:] != doc[:-1]] if len(doc) else np.zeros(0, bool)
     before = np.where(first, 0, np.r_[0, cls[:-1]]) if len(cls) else cls
-    shape = sequence - 1 - len(m.top_words)
-    rare = shape >= 0
-    s = np.maximum(shape, 0)
-    share = np.where(rare, np.log10((count + 0.5) / (m.shape_tokens[s] + 0.5 * (m.shape_types[s] + 1))), 0.0)
-    by_class = m.transition[before, cls] + m.emission[sequence] + share
-    both = np.log10(weight * 10**by_class + (1 - weight) * 10**base)
+    emission = np.log10((count + 0.5) / (m.class_tokens[cls] + 0.5 * (m.class_types[cls] + 1)))
+    emission[entry < 0] = 0.0
+    both = np.log10(weight * 10 ** (m.transition[before, cls] + emission) + (1 - weight) * 10**base)
     known = np.bincount(doc, count > 0, n).astype(np.int64)
-    return [c.doc_ids, ~c.train.astype(bool), c.n_words + 1, known, np.full(n, m.tokens), np.bincount(doc, base, n), np.bincount(doc, both, n)]
+    score = np.bincount(doc, both, n)
+    return [c.doc_ids, ~c.train.astype(bool), c.n_words + 1, known, np.full(n, m.tokens), np.bincount(doc, base, n), score, 10 ** (-score / (c.n_words + 1))]
 
 
-_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
 
 
 def _scored(model):
-    def run(key, left, right):
-        out = []
-        parts = sorted(zip(right.column("bucket").to_pylist(), right.column("counts").to_pylist(), strict=True))
-        counts = np.frombuffer(b"".join(x for _, x in parts), "<i8")
-        for row in left.to_pylist():
-            out.append(pa.table(score_chunk(Chunk.of(row), counts, model.value), names=[x.split()[0] for x in _SCORED.split(", ")]))
-        return pa.concat_tables(out)
+    @lean
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in score_chunk(row, model.value)], names=[x.split()[0] for x in _SCORED.split(", ")])
 
     return run
 
 
-def lm_scores(docs: DataFrame, fold: int = 1, of: int = 5, top: int = TOP, shapes: int = SHAPES, classes: int = CLASSES) -> DataFrame:
-    """Scores of docs(doc_id, text) by a model of those whose crc32(doc_id as text) mod of isn't fold."""
+def fit(docs: DataFrame, fold: int = 1, of: int = 5, shapes: int = SHAPES) -> tuple[DataFrame, ClassModel]:
+    """The coded texts of docs(doc_id, text), each word with its training count and class, and the model of the texts whose crc32(doc_id as text) mod of isn't fold."""
     spark = docs.sparkSession
     text_batches(spark, 4000)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
     chunks = stored(docs.mapInArrow(_chunks(fold, of, shapes), _CHUNK), "chunks")
     text_batches(spark, 4)
-    entries = chunks.agg(F.sum(F.length("vocabulary"))).first()[0] or 0
-    buckets = max(1, -(-entries // 8 // BUCKET_ENTRIES))
-    parts = chunks.select("chunk", *_NAMES[1:7], F.lit(b"").alias("codes")).mapInArrow(_parts(buckets), "bucket int, chunk string, words binary, shapes binary, counts binary")
-    sums = stored(parts.groupBy("bucket").applyInArrow(_sums(top, shapes), _SUMS_SQL), "sums")
-    model = spark.sparkContext.broadcast(train(chunks, sums, top, shapes, classes))
-    text_batches(spark, 4000)
-    back = sums.where("chunk IS NOT NULL").select("chunk", "bucket", "counts")
-    return chunks.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_scored(model), _SCORED)
+    entries, tokens = chunks.agg(F.sum(F.length("vocabulary")), F.sum("tokens")).first()
+    buckets = max(1, -(-(entries or 0) // 8 // BUCKET_ENTRIES))
+    seeds, classes = sizes_for(tokens or 0)
+    parts = chunks.select("chunk", "tokens", *_NAMES[2:8], F.lit(b"").alias("codes")).mapInArrow(_parts(buckets), _PART_SQL)
+    tops = stored(parts.groupBy("bucket").applyInArrow(_tops(seeds, shapes), _TOP_SQL), "tops")
+    s = seed_classes(chunks, tops, seeds, shapes, classes)
+    held = spark.sparkContext.broadcast(s)
+    contexts = chunks.mapInArrow(_contexts(held, buckets), _CONTEXT_SQL)
+    back = stored(parts.groupBy("bucket").cogroup(contexts.groupBy("bucket")).applyInArrow(_assigned(held), _BACK_SQL), "classes")
+    words = stored(chunks.groupBy("chunk").cogroup(back.where("chunk IS NOT NULL").groupBy("chunk")).applyInArrow(_joined, _CLASSED), "classed")
+    got = words.mapInArrow(_class_counts(classes), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    pair = np.zeros(classes * classes)
+    pair[got.column("pair").to_numpy()] = got.column("n").to_numpy()
+    pair = pair.reshape(classes, classes)
+    types = np.bincount(s.of[1 + s.order], minlength=classes)
+    for at, n in back.where("chunk IS NULL").select(F.posexplode("types").alias("class", "n")).groupBy("class").agg(F.sum("n")).collect():
+        types[at] += n
+    discard(chunks, tops, back)
+    transition = np.log10((pair + 0.1) / (pair.sum(1, keepdims=True) + 0.1 * classes))
+    return words, ClassModel(transition, pair.sum(0), types, s.tokens, s.types, s.texts)
+
+
+def lm_scores(docs: DataFrame, fold: int = 1, of: int = 5, shapes: int = SHAPES) -> DataFrame:
+    """Scores of docs(doc_id, text), and their perplexity per token, by a model of those whose crc32(doc_id as text) mod of isn't fold."""
+    words, model = fit(docs, fold, of, shapes)
+    return words.mapInArrow(_scored(docs.sparkSession.sparkContext.broadcast(model)), _SCORED)
 
 
 def op6_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
