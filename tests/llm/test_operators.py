@@ -128,7 +128,11 @@ def test_class_lm(docs, none, rows, monkeypatch):
     monkeypatch.setattr(L, "CLASSES", 6)
     monkeypatch.setattr(L, "BUCKET_ENTRIES", 300)
     assert L.sizes_for(0) == (24, 6) and L.sizes_for(10**8) == (400, 100)
-    words, model = L.fit(docs)
+    # of the two texts of doc_id 12 one, so that a coded text is known by its doc_id; an equal row twice instead
+    docs = docs.where("doc_id IS NULL OR doc_id <> 12 OR text = lower(text)")
+    docs = docs.union(docs.where("doc_id = 4"))
+    rows = [r for r in rows if r[0] != 12 or r[1] == r[1].lower()] + [r for r in rows if r[0] == 4]
+    words, _ = L.fit(docs)
     found = sorted(map(tuple, L.lm_scores(docs).collect()), key=repr)
     want = sorted(L.base_brute(rows), key=repr)
     assert [r[:5] for r in found] == [r[:5] for r in want]
@@ -136,9 +140,12 @@ def test_class_lm(docs, none, rows, monkeypatch):
     assert L.lm_scores(none).count() == 0
 
     # the score, from the words' classes alone
-    of = {}
+    of, text_of = {}, {(i, len(hash_text_words(t, space_bytes()))): t for i, t in rows}
     for r in words.collect():
-        of.update(zip(np.frombuffer(r.vocabulary, "<u8").tolist(), np.frombuffer(r.classes, "<u2").tolist(), strict=True))
+        c, at = L.Chunk.of(r.asDict()), 0
+        for i, k in zip(c.doc_ids.tolist(), c.n_words.tolist(), strict=True):
+            of.update(zip(hash_text_words(text_of[i, k], space_bytes()).tolist(), np.frombuffer(r.classes, "<u2")[c.codes[at : at + k]].tolist(), strict=True))
+            at += k
     tokens = [(i, [*hash_text_words(t, space_bytes()).tolist(), None]) for i, t in rows]
     held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
     cls = lambda w: 0 if w is None else of[w]

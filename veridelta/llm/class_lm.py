@@ -64,13 +64,26 @@ def _chunks(fold: int, of: int, shapes: int):
                 docs = ids[at : at + n]
                 train = np.array([zlib.crc32(str(d).encode()) % of != fold for d in docs.tolist()])
                 counts = np.bincount(codes[np.repeat(train, np.diff(first))], minlength=len(vocabulary))
-                row = (f"{part}-{k}", int(counts.sum() + train.sum()), docs.astype("<i8"), train.astype("u1"), np.diff(first).astype("<i8"), vocabulary.astype("<u8"), _shapes(raw, starts[where], lens[where], shapes).astype("<u2"), counts.astype("<u4"), codes.astype("<u4"))
+                row = (f"{part}-{k}", int(counts.sum() + train.sum()), docs.astype("<i8"), train.astype("u1"), np.diff(first).astype("<i8"), vocabulary.astype("<u8"), _shapes(raw, starts[where], lens[where], shapes).astype("<u2"), counts.astype("<u4"))
                 k += 1
-                yield pa.RecordBatch.from_arrays([pa.array([row[0]]), pa.array([row[1]], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in row[2:]]], names=_NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array([row[0]]), pa.array([row[1]], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in row[2:]], pa.array([_packed(codes)], pa.binary())], names=_NAMES)
 
     return run
 
 
+def _packed(codes: np.ndarray) -> bytes:
+    """Codes by byte planes, compressed: the upper bytes hardly vary, and Spark's shuffles compress less."""
+    return pa.compress(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True) if len(codes) else b""
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    """Codes of n words; none where the column was left out."""
+    if not data:
+        return np.zeros(0, dtype="<u4")
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+
+
 def sizes_for(tokens: int) -> tuple[int, int]:
     """Seeds and classes for so many training tokens: classes grow with their fourth root, so that the table of class pairs grows with the square root."""
     classes = max(CLASSES, round(tokens**0.25))
@@ -89,7 +102,8 @@ class Chunk:
 
     @classmethod
     def of(cls, row: dict) -> Chunk:
-        return cls(*[np.frombuffer(row[k], t) for k, t in zip(_NAMES[2:], ("<i8", "u1", "<i8", "<u8", "<u2", "<u4", "<u4"), strict=True)])
+        rest = [np.frombuffer(row[k], t) for k, t in zip(_NAMES[2:-1], ("<i8", "u1", "<i8", "<u8", "<u2", "<u4"), strict=True)]
+        return cls(*rest, _unpacked(row["codes"], int(rest[2].sum())))
 
 
 _PART = pa.schema([("bucket", pa.int32()), ("chunk", pa.string()), ("words", pa.binary()), ("shapes", pa.binary()), ("counts", pa.binary())])
@@ -453,7 +467,9 @@ def fit(docs: DataFrame, fold: int = 1, of: int = 5, shapes: int = SHAPES) -> tu
     held = spark.sparkContext.broadcast(s)
     contexts = chunks.mapInArrow(_contexts(held, buckets), _CONTEXT_SQL)
     back = stored(parts.groupBy("bucket").cogroup(contexts.groupBy("bucket")).applyInArrow(_assigned(held), _BACK_SQL), "classes")
-    words = stored(chunks.groupBy("chunk").cogroup(back.where("chunk IS NOT NULL").groupBy("chunk")).applyInArrow(_joined, _CLASSED), "classed")
+    nothing = [F.lit(b"").alias(x) for x in ("vocabulary", "shapes", "counts")]
+    coded = chunks.select("chunk", "tokens", "doc_ids", "train", "n_words", *nothing, "codes")  # scoring needs no hashes
+    words = stored(coded.groupBy("chunk").cogroup(back.where("chunk IS NOT NULL").groupBy("chunk")).applyInArrow(_joined, _CLASSED), "classed")
     got = words.mapInArrow(_class_counts(classes), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     pair = np.zeros(classes * classes)
     pair[got.column("pair").to_numpy()] = got.column("n").to_numpy()
