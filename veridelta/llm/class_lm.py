@@ -71,6 +71,14 @@ def _chunks(fold: int, of: int, shapes: int):
     return run
 
 
+def _squeezed(values: np.ndarray, kind: str) -> bytes:
+    return pa.compress(values.astype(kind).tobytes(), codec="zstd", asbytes=True) if len(values) else b""
+
+
+def _spread(data: bytes, kind: str, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, decompressed_size=n * np.dtype(kind).itemsize, codec="zstd", asbytes=True) if n else b"", kind)
+
+
 def _packed(codes: np.ndarray) -> bytes:
     """Codes by byte planes, compressed: the upper bytes hardly vary, and Spark's shuffles compress less."""
     return pa.compress(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True) if len(codes) else b""
@@ -111,7 +119,7 @@ _PART_SQL = "bucket int, chunk string, words binary, shapes binary, counts binar
 _TOP_SQL = "top_words array<long>, top_counts array<long>, top_shapes array<long>, shape_tokens array<long>, shape_types array<long>"
 _CONTEXT = pa.schema([("bucket", pa.int32()), ("words", pa.binary()), ("sizes", pa.binary()), ("contexts", pa.binary()), ("counts", pa.binary())])
 _CONTEXT_SQL = "bucket int, words binary, sizes binary, contexts binary, counts binary"
-_BACK_SQL = "chunk string, bucket int, counts binary, classes binary, types array<long>"
+_BACK_SQL = "chunk string, bucket int, words int, counts binary, classes binary, types array<long>"
 
 
 def _cuts(words: np.ndarray, buckets: int) -> np.ndarray:
@@ -128,7 +136,7 @@ def _parts(buckets: int):
             for row in batch.to_pylist():
                 c = Chunk.of(row)
                 cuts = _cuts(c.vocabulary, buckets)
-                rows = [(b, row["chunk"], c.vocabulary[i:j].tobytes(), c.shapes[i:j].tobytes(), c.counts[i:j].tobytes()) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
+                rows = [(b, row["chunk"], c.vocabulary[i:j].tobytes(), _squeezed(c.shapes[i:j], "<u2"), _squeezed(c.counts[i:j], "<u4")) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _PART.types, strict=True)], schema=_PART)
 
@@ -139,10 +147,11 @@ def _tops(top: int, shapes: int):
     """A bucket's most frequent training words and its words' counts by spelling symbol."""
 
     def run(key, table):
-        flat = np.frombuffer(b"".join(table.column("words").to_pylist()), "<u8")
-        own, first, code = np.unique(flat, return_index=True, return_inverse=True)
-        total = np.bincount(code, np.frombuffer(b"".join(table.column("counts").to_pylist()), "<u4"), len(own)).astype(np.int64)
-        shape = np.frombuffer(b"".join(table.column("shapes").to_pylist()), "<u2")[first].astype(np.int64)
+        words = table.column("words").to_pylist()
+        each = lambda name, kind: np.concatenate([_spread(x, kind, len(w) // 8) for x, w in zip(table.column(name).to_pylist(), words, strict=True)])
+        own, first, code = np.unique(np.frombuffer(b"".join(words), "<u8"), return_index=True, return_inverse=True)
+        total = np.bincount(code, each("counts", "<u4"), len(own)).astype(np.int64)
+        shape = each("shapes", "<u2")[first].astype(np.int64)
         best = np.lexsort((own, -total))[:top]
         best = best[total[best] > 0]
         out = (own[best].view(np.int64), total[best], shape[best], np.bincount(shape, total, shapes).astype(np.int64), np.bincount(shape[total > 0], minlength=shapes))
@@ -288,7 +297,7 @@ def _merged(held: list[tuple], buckets: int) -> pa.RecordBatch:
     start = np.flatnonzero(np.r_[True, words[1:] != words[:-1]])
     own, sizes = words[start], np.diff(np.r_[start, len(words)])
     cuts, ends = _cuts(own, buckets), np.r_[0, np.cumsum(sizes)]
-    rows = [(b, own[i:j].tobytes(), sizes[i:j].astype("<u4").tobytes(), contexts[ends[i] : ends[j]].astype("<u2").tobytes(), counts[ends[i] : ends[j]].astype("<u8").tobytes()) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
+    rows = [(b, own[i:j].tobytes(), _squeezed(sizes[i:j], "<u4"), _squeezed(contexts[ends[i] : ends[j]], "<u2"), _squeezed(counts[ends[i] : ends[j]], "<i8")) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _CONTEXT.types, strict=True)], schema=_CONTEXT)
 
 
@@ -351,27 +360,32 @@ def _assigned(seeds):
         k = len(s.pair)
         own = total = of = np.zeros(0, dtype=np.int64)
         if len(right):
-            get = lambda name, kind: np.frombuffer(b"".join(right.column(name).to_pylist()), kind)
-            word, context, n = np.repeat(get("words", "<u8"), get("sizes", "<u4")), get("contexts", "<u2"), get("counts", "<u8").astype(np.int64)
+            held = []
+            for words, sizes, contexts, counts in zip(*[right.column(x).to_pylist() for x in ("words", "sizes", "contexts", "counts")], strict=True):
+                sizes = _spread(sizes, "<u4", len(words) // 8)
+                at = int(sizes.sum())
+                held.append((np.repeat(np.frombuffer(words, "<u8"), sizes), _spread(contexts, "<u2", at), _spread(counts, "<i8", at)))
+            word, context, n = (np.concatenate(x) for x in zip(*held, strict=True))
             by = np.lexsort((context, word))
             word, context, n = word[by], context[by], n[by]
             own, code = np.unique(word, return_inverse=True)
             total = np.bincount(code, n * (context < k), len(own)).astype(np.int64)
             of = likeliest(code, context, n, s.pair)
-        chunk, counts, classes = left.column("chunk").to_pylist(), [], []
+        chunk, counts, classes, sizes = left.column("chunk").to_pylist(), [], [], []
         for words, shapes in zip(left.column("words").to_pylist(), left.column("shapes").to_pylist(), strict=True):
-            words, shapes = np.frombuffer(words, "<u8"), np.frombuffer(shapes, "<u2")
+            words, shapes = np.frombuffer(words, "<u8"), _spread(shapes, "<u2", len(words) // 8)
             count, cls = np.zeros(len(words), dtype=np.int64), s.of[1 + len(s.words) + shapes.astype(np.int64)]
             for found, their_counts, their_classes in ((own, total, of), (s.words, s.counts, s.of[1 + s.order])):
                 if len(found):
                     at = np.minimum(np.searchsorted(found, words), len(found) - 1)
                     hit = found[at] == words
                     count[hit], cls[hit] = their_counts[at[hit]], their_classes[at[hit]]
-            counts.append(count.astype("<i8").tobytes())
-            classes.append(cls.astype("<u2").tobytes())
+            counts.append(_squeezed(count, "<i8"))
+            classes.append(_squeezed(cls, "<u2"))
+            sizes.append(len(words))
         bucket = [*left.column("bucket").to_pylist(), None]
         types = [*[None] * len(chunk), np.bincount(of, minlength=k)]
-        return pa.table([pa.array([*chunk, None], pa.string()), pa.array(bucket, pa.int32()), pa.array([*counts, None], pa.binary()), pa.array([*classes, None], pa.binary()), pa.array(types, pa.list_(pa.int64()))], names=["chunk", "bucket", "counts", "classes", "types"])
+        return pa.table([pa.array([*chunk, None], pa.string()), pa.array(bucket, pa.int32()), pa.array([*sizes, None], pa.int32()), pa.array([*counts, None], pa.binary()), pa.array([*classes, None], pa.binary()), pa.array(types, pa.list_(pa.int64()))], names=["chunk", "bucket", "words", "counts", "classes", "types"])
 
     return run
 
@@ -380,8 +394,8 @@ _CLASSED = f"{_CHUNK}, totals binary, classes binary"
 
 
 def _joined(key, left, right):
-    parts = sorted(zip(*[right.column(x).to_pylist() for x in ("bucket", "counts", "classes")], strict=True))
-    totals, classes = (b"".join(x[i] for x in parts) for i in (1, 2))
+    parts = sorted(zip(*[right.column(x).to_pylist() for x in ("bucket", "words", "counts", "classes")], strict=True))
+    totals, classes = (b"".join(_spread(x[i], kind, x[1]).tobytes() for x in parts) for i, kind in ((2, "<i8"), (3, "<u2")))
     n = len(left)
     return left.append_column("totals", pa.array([totals] * n, pa.binary())).append_column("classes", pa.array([classes] * n, pa.binary()))
 
@@ -464,6 +478,7 @@ def fit(docs: DataFrame, fold: int = 1, of: int = 5, shapes: int = SHAPES) -> tu
     parts = chunks.select("chunk", "tokens", *_NAMES[2:8], F.lit(b"").alias("codes")).mapInArrow(_parts(buckets), _PART_SQL)
     tops = stored(parts.groupBy("bucket").applyInArrow(_tops(seeds, shapes), _TOP_SQL), "tops")
     s = seed_classes(chunks, tops, seeds, shapes, classes)
+    discard(tops)
     held = spark.sparkContext.broadcast(s)
     contexts = chunks.mapInArrow(_contexts(held, buckets), _CONTEXT_SQL)
     back = stored(parts.groupBy("bucket").cogroup(contexts.groupBy("bucket")).applyInArrow(_assigned(held), _BACK_SQL), "classes")
@@ -477,7 +492,7 @@ def fit(docs: DataFrame, fold: int = 1, of: int = 5, shapes: int = SHAPES) -> tu
     types = np.bincount(s.of[1 + s.order], minlength=classes)
     for at, n in back.where("chunk IS NULL").select(F.posexplode("types").alias("class", "n")).groupBy("class").agg(F.sum("n")).collect():
         types[at] += n
-    discard(chunks, tops, back)
+    discard(chunks, back)
     transition = np.log10((pair + 0.1) / (pair.sum(1, keepdims=True) + 0.1 * classes))
     return words, ClassModel(transition, pair.sum(0), types, s.tokens, s.types, s.texts)
 
