@@ -127,16 +127,18 @@ def _cuts(words: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted(((words >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1))
 
 
-def _parts(buckets: int):
-    """A chunk's vocabulary in slices of the hash space."""
+def _parts(buckets: int, counted: bool):
+    """A chunk's vocabulary in slices of the hash space; counted: its training words with their counts, else all words without."""
 
     @lean
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 c = Chunk.of(row)
-                cuts = _cuts(c.vocabulary, buckets)
-                rows = [(b, row["chunk"], c.vocabulary[i:j].tobytes(), _squeezed(c.shapes[i:j], "<u2"), _squeezed(c.counts[i:j], "<u4")) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
+                keep = c.counts > 0 if counted else slice(None)
+                words, shapes, counts = c.vocabulary[keep], c.shapes[keep], c.counts[keep] if counted else c.counts[:0]
+                cuts = _cuts(words, buckets)
+                rows = [(b, row["chunk"], words[i:j].tobytes(), _squeezed(shapes[i:j], "<u2"), _squeezed(counts[i:j], "<u4")) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _PART.types, strict=True)], schema=_PART)
 
@@ -472,16 +474,17 @@ def fit(docs: DataFrame, fold: int = 1, of: int = 5, shapes: int = SHAPES) -> tu
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
     chunks = stored(docs.mapInArrow(_chunks(fold, of, shapes), _CHUNK), "chunks")
     text_batches(spark, 4)
-    entries, tokens = chunks.agg(F.sum(F.length("vocabulary")), F.sum("tokens")).first()
-    buckets = max(1, -(-(entries or 0) // 8 // BUCKET_ENTRIES))
+    size, tokens = chunks.agg(F.sum(F.length("vocabulary")), F.sum("tokens")).first()
+    buckets = max(1, -(-(size or 0) // 8 // BUCKET_ENTRIES))
     seeds, classes = sizes_for(tokens or 0)
-    parts = chunks.select("chunk", "tokens", *_NAMES[2:8], F.lit(b"").alias("codes")).mapInArrow(_parts(buckets), _PART_SQL)
-    tops = stored(parts.groupBy("bucket").applyInArrow(_tops(seeds, shapes), _TOP_SQL), "tops")
+    entries = chunks.select("chunk", "tokens", *_NAMES[2:8], F.lit(b"").alias("codes"))
+    tops = stored(entries.mapInArrow(_parts(buckets, True), _PART_SQL).groupBy("bucket").applyInArrow(_tops(seeds, shapes), _TOP_SQL), "tops")
     s = seed_classes(chunks, tops, seeds, shapes, classes)
     discard(tops)
     held = spark.sparkContext.broadcast(s)
     contexts = chunks.mapInArrow(_contexts(held, buckets), _CONTEXT_SQL)
-    back = stored(parts.groupBy("bucket").cogroup(contexts.groupBy("bucket")).applyInArrow(_assigned(held), _BACK_SQL), "classes")
+    slices = entries.mapInArrow(_parts(buckets, False), _PART_SQL).drop("counts")
+    back = stored(slices.groupBy("bucket").cogroup(contexts.groupBy("bucket")).applyInArrow(_assigned(held), _BACK_SQL), "classes")
     nothing = [F.lit(b"").alias(x) for x in ("vocabulary", "shapes", "counts")]
     coded = chunks.select("chunk", "tokens", "doc_ids", "train", "n_words", *nothing, "codes")  # scoring needs no hashes
     words = stored(coded.groupBy("chunk").cogroup(back.where("chunk IS NOT NULL").groupBy("chunk")).applyInArrow(_joined, _CLASSED), "classed")
