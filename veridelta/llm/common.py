@@ -12,6 +12,7 @@ from functools import wraps
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text that one step of a task holds in its numpy arrays at once; a longer document is a step of its own.
 STEP_BYTES = 4 << 20
@@ -200,3 +201,32 @@ def fresh(name: str, columns) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def whole_vector(name: str) -> str:
+    """SQL: the array has components and none of them is null or non-finite."""
+    return f"{name} IS NOT NULL AND size({name}) > 0 AND forall({name}, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity'))"
+
+
+def vector_block(column: pa.Array, width: int) -> np.ndarray:
+    """An Arrow column of number lists as a matrix of the given width."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    if len(flat) != len(column) * width or (column.value_lengths().to_numpy(zero_copy_only=False) != width).any():
+        raise ValueError(f"vectors of one length are needed, {width} here")
+    return flat.reshape(len(column), width)
+
+
+def join_totals(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """rows with name: the sum of value over all rows of an equal key, nulls being one key.
+
+    Keys of more than a thousandth of the rows, so fewer than a thousand keys, are broadcast and their rows stay where
+    they are; only the rest, no key of which is large, is shuffled."""
+    each = stored(rows.groupBy(key).agg(F.sum(value).alias(name), F.count("*").alias("n__")), "totals")
+    least = (each.agg(F.sum("n__")).first()[0] or 0) / 1000
+    hot, cold = each.where(F.col("n__") > least), each.where(F.col("n__") <= least).drop("n__")
+    marked = rows.alias("r").join(F.broadcast(hot.withColumnRenamed(key, "k__")), F.col(f"r.{key}").eqNullSafe(F.col("k__")), "left")
+    near = marked.where("n__ IS NOT NULL").select("r.*", name)
+    far = marked.where("n__ IS NULL").select("r.*").alias("r").join(cold.withColumnRenamed(key, "k__"), F.col(f"r.{key}").eqNullSafe(F.col("k__"))).select("r.*", name)
+    return near.unionByName(far)
