@@ -1,24 +1,28 @@
 """Byte-level BPE encoding and decoding by DuckDB queries inside each partition.
 
 Encoding: the rows (word, position, token) of distinct pre-tokens join the merge table; a recursive query contracts
-each word's leftmost pair of minimum rank until no word has a pair left. For longer words a round contracts all pairs of
-the minimum rank from the left, as one after the other would, where no merge with the new token has a lower rank (a
-fixed property of the merge table); otherwise the leftmost alone. Only the newest ROUND_ROWS rows or so are kept: a word that
-needs more rounds goes on from its newest round. Decoding: the rows (document, position, id) join the vocabulary and are
-aggregated in the order of their positions.
+each word's leftmost pair of minimum rank until no word has a pair left. Words of more than FEW bytes first find every
+vocabulary token that stands in them. A round then contracts all pairs that no token of lower rank can break up by
+taking one of their halves first (of equal pairs in a row every second one, from the left), and always the leftmost pair
+of minimum rank; early contractions need merges whose new token makes no lower rank, a fixed property of the merge
+table. After some rounds words are cut where no token reaches across any more, and only what isn't done goes on, so long
+random text takes a time in proportion to its length. Decoding: the rows (document, position, id) join the vocabulary
+and are aggregated in the order of their positions.
 
 Texts are cut into pre-tokens by the tokenizer's pattern. Where a text has no two white-space characters in a row, a cut
 at each space is one of the pattern's own, so the pattern runs once for each distinct piece between spaces; other texts
 go through the pattern whole.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes; rows keep their doc_id, null or repeated;
-other columns are ignored; an empty table gives no rows.
+other columns are ignored; an empty table gives no rows. A text is held by one task, and a pre-token of many megabytes
+takes some hundred bytes of memory for each of its own; positions have 40 bits.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from contextlib import closing
 from functools import cache
 
@@ -38,27 +42,35 @@ ROUND_ROWS = 2_000_000
 TEXT_BYTES = 2 << 20
 _ENCODED = "doc_id long, n_tokens long, ids binary"
 
-#: k: the word's number, then the position of the token's first byte in 24 bits.
-_MERGE = """
+#: One round for long words. w: the segment's number, k: the position of a token's first byte; found: every token of the
+#: vocabulary that stands anywhere in the text, from s to e. A pair is contracted unless a token of lower rank could take
+#: one of its halves first: one that stands there and begins and ends where tokens do now.
+_MERGE_LONG = """
 WITH RECURSIVE step AS (
-  SELECT k, id, 0 AS n FROM seq
+  SELECT w, k, id, 0 AS n FROM seq
   UNION ALL
   (WITH p AS MATERIALIZED (
-     SELECT k, id, n, k >> 24 AS w, lead(k) OVER o AS after, lead(id) OVER o AS next_id, row_number() OVER o AS j FROM step WINDOW o AS (ORDER BY k)),
+     SELECT w, k, id, n, lag(k) OVER o AS before, lead(k) OVER o AS mid, lead(id) OVER o AS next_id, lead(w) OVER o AS next_w,
+            coalesce(lead(k, 2) OVER o, 1::BIGINT << 60) AS stop, row_number() OVER o AS j FROM step WINDOW o AS (ORDER BY k)),
    pairs AS MATERIALIZED (
-     SELECT p.k, p.w, p.j, p.after, m.id AS new, m.safe FROM p JOIN merges m ON m.pair = (p.id << 32) + p.next_id WHERE p.after >> 24 = p.w AND p.n < {rounds}),
-   b AS MATERIALIZED (SELECT w, min((new << 24) | (k & 16777215)) AS best FROM pairs GROUP BY w),
-   least AS MATERIALIZED (
-     SELECT x.k, x.after, x.new, x.safe, x.k & 16777215 = b.best & 16777215 AS leftmost, x.j - row_number() OVER (ORDER BY x.k) AS run
-     FROM pairs x JOIN b ON b.w = x.w AND b.best >> 24 = x.new),
+     SELECT p.w, p.k, p.j, p.before, p.mid, p.stop, m.id AS r, m.safe FROM p JOIN merges m ON m.pair = (p.id << 32) + p.next_id WHERE p.next_w = p.w AND p.n < {rounds}),
+   live AS MATERIALIZED (SELECT s, e, r FROM found WHERE s IN (SELECT k FROM p) AND e IN (SELECT k FROM p UNION ALL SELECT e FROM ends)),
+   taken AS MATERIALIZED (
+     SELECT x.k FROM pairs x JOIN live o ON o.e = x.mid WHERE o.s < x.k AND (o.r < x.r OR (o.r = x.r AND o.s IS DISTINCT FROM x.before))
+     UNION ALL SELECT x.k FROM pairs x JOIN live o ON o.s = x.mid WHERE o.e > x.stop AND o.r < x.r),
+   least AS MATERIALIZED (SELECT w, min((r << 40) | k) & ((1::BIGINT << 40) - 1) AS k FROM pairs GROUP BY w),
+   runs AS MATERIALIZED (
+     SELECT x.k, x.mid, x.r, x.safe, x.k IN (SELECT k FROM taken) AS late, x.j - row_number() OVER (PARTITION BY x.w, x.r ORDER BY x.k) AS run, x.w FROM pairs x),
    hits AS MATERIALIZED (
-     SELECT k, after, new FROM (SELECT k, after, new, safe, leftmost, row_number() OVER (PARTITION BY run ORDER BY k) AS i FROM least) WHERE CASE WHEN safe THEN i % 2 = 1 ELSE leftmost END)
-   SELECT p.k, coalesce(h.new, p.id), p.n + 1
-   FROM p JOIN b ON b.w = p.w LEFT JOIN hits h ON h.k = p.k WHERE p.k NOT IN (SELECT after FROM hits))
+     SELECT k, mid, r FROM (
+       SELECT k, mid, r, safe, row_number() OVER q AS i, bool_or(late) OVER q AS late FROM runs WINDOW q AS (PARTITION BY w, r, run ORDER BY k ROWS UNBOUNDED PRECEDING))
+     WHERE safe AND i % 2 = 1 AND NOT late OR k IN (SELECT k FROM least))
+   SELECT p.w, p.k, coalesce(h.r, p.id), p.n + 1
+   FROM p LEFT JOIN hits h ON h.k = p.k WHERE p.w IN (SELECT w FROM least) AND p.k NOT IN (SELECT mid FROM hits))
 )
-SELECT step.k, step.id, b.n FROM step JOIN (SELECT k >> 24 AS w, max(n) AS n FROM step GROUP BY 1) b ON b.w = step.k >> 24 AND b.n = step.n ORDER BY step.k
+SELECT step.k, step.id, b.n FROM step JOIN (SELECT w, max(n) AS n FROM step GROUP BY 1) b ON b.w = step.w AND b.n = step.n ORDER BY step.k
 """
-#: The same with one pair a round: fewer joins, for words of few rounds.
+#: One pair a round, for words of at most FEW bytes. k: the word's number, then the position of the token's first byte.
 _MERGE_ONE = """
 WITH RECURSIVE step AS (
   SELECT k, id, 0 AS n FROM seq
@@ -73,8 +85,9 @@ WITH RECURSIVE step AS (
 )
 SELECT step.k, step.id, b.n FROM step JOIN (SELECT k >> 24 AS w, max(n) AS n FROM step GROUP BY 1) b ON b.w = step.k >> 24 AND b.n = step.n ORDER BY step.k
 """
-#: Bytes of the longest word that goes one pair a round.
 FEW = 48
+#: Rounds of one query for long words: after them, segments are cut where no token can reach across any more.
+LONG_ROUNDS = 4
 _DECODE = "SELECT d, string_agg(piece, '') AS s FROM (SELECT d, piece FROM tokens JOIN vocabulary USING (id) ORDER BY k) GROUP BY d"
 
 
@@ -107,9 +120,10 @@ class ByteBpe:
         self.ranks, pair, new, safe = merge_table(path)
         self.findall = regex.compile(pattern).findall
         self.runs_of_space = re.compile(r"\s\s|[\x00\x1c-\x1f]").search
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         self._table("merges", pair=pa.array(pair), id=pa.array(new), safe=pa.array(safe))
         self._table("vocabulary", id=pa.array(list(self.ranks.values()), pa.int64()), piece=pa.array([t.decode("latin-1") for t in self.ranks]))
+        self.automaton = None
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         self.words = Pool(self._words, 200_000)
         self.pieces = Pool(self._pieces, 200_000)
@@ -132,7 +146,7 @@ class ByteBpe:
         while len(k):
             rounds = max(16, ROUND_ROWS // len(k))
             self.db.register("seq", pa.table({"k": k, "id": ids}))
-            got = self.db.sql((_MERGE if n.max() > FEW else _MERGE_ONE).format(rounds=rounds)).to_arrow_table()
+            got = self.db.sql(_MERGE_ONE.format(rounds=rounds)).to_arrow_table()
             self.db.unregister("seq")
             k, ids, more = got.column(0).to_numpy(), got.column(1).to_numpy(), got.column(2).to_numpy() >= rounds
             done.append((k[~more], ids[~more]))
@@ -141,6 +155,67 @@ class ByteBpe:
         order = np.argsort(k, kind="stable")
         return ids[order], np.bincount(k >> 24, minlength=len(words))
 
+    def _standing(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Begin, end and rank of every token of two bytes or more that stands in a word, words being one after the other."""
+        if self.automaton is None:
+            import ahocorasick
+
+            self.automaton = ahocorasick.Automaton()
+            for t, r in self.ranks.items():
+                if len(t) > 1:
+                    self.automaton.add_word(t.decode("latin-1"), (len(t), r))
+            self.automaton.make_automaton()
+        ends, sizes, ranks, at = array("q"), array("q"), array("q"), 0
+        for w in words:
+            for e, (n, r) in self.automaton.iter(w.decode("latin-1")):
+                ends.append(at + e + 1)
+                sizes.append(n)
+                ranks.append(r)
+            at += len(w)
+        e, n, r = (np.frombuffer(x, dtype=np.int64) if len(x) else np.zeros(0, np.int64) for x in (ends, sizes, ranks))
+        return e - n, e, r
+
+    def _merge_long(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        n = np.fromiter(map(len, words), np.int64, len(words))
+        total = int(n.sum())
+        fixed = np.zeros(total + 1, dtype=bool)  # edges that stay
+        fixed[np.cumsum(n)] = True
+        s, e, r = self._standing(words)
+        k, done = np.arange(total), []
+        ids = self.byte[np.frombuffer(b"".join(words), dtype=np.uint8)]
+        self.db.execute(f"SET memory_limit = '{300 + total // 2500}MB'")
+        while True:
+            # a token still matters if it begins and ends where tokens do and isn't one of them; where none reaches across is a cut
+            edge = fixed.copy()
+            edge[k] = True
+            inner = np.cumsum(edge) - edge  # edges before each position
+            live = edge[s] & edge[e] & (inner[e] - inner[s] > 1)
+            s, e, r = s[live], e[live], r[live]
+            across = np.zeros(total + 2, dtype=np.int64)
+            np.add.at(across, s + 1, 1)
+            np.add.at(across, e, -1)
+            cut = np.cumsum(across)[k] == 0
+            w = np.cumsum(cut)
+            open_ = np.bincount(w)[w] > 1
+            done.append((k[~open_], ids[~open_]))
+            fixed[k[~open_]] = True
+            k, ids, w = k[open_], ids[open_], w[open_]
+            if not len(k):
+                break
+            for name, table in (("seq", {"w": w, "k": k, "id": ids}), ("found", {"s": s, "e": e, "r": r}), ("ends", {"e": np.unique(e)})):
+                self.db.register(name, pa.table(table))
+            got = self.db.sql(_MERGE_LONG.format(rounds=LONG_ROUNDS)).to_arrow_table()
+            for name in ("seq", "found", "ends"):
+                self.db.unregister(name)
+            k, ids, last = got.column(0).to_numpy(), got.column(1).to_numpy(), got.column(2).to_numpy() < LONG_ROUNDS
+            # segments that have no pair left
+            done.append((k[last], ids[last]))
+            fixed[k[last]] = True
+            k, ids = k[~last], ids[~last]
+        k, ids = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(k, kind="stable")
+        return ids[order], np.bincount(np.searchsorted(np.cumsum(n), k, side="right"), minlength=len(words))
+
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct pre-tokens."""
         raw = [w.encode() for w in words]
@@ -154,7 +229,8 @@ class ByteBpe:
             j = max(i + 1, min(i + QUERY_WORDS, int(np.searchsorted(total, (total[i - 1] if i else 0) + QUERY_BYTES, side="right"))))
             few = int(np.searchsorted(size, FEW, side="right"))
             j = few if i < few < j else j
-            ids, counts[at[i:j]] = self._merge([raw[x] for x in at[i:j].tolist()])
+            merge = self._merge if size[j - 1] <= FEW else self._merge_long
+            ids, counts[at[i:j]] = merge([raw[x] for x in at[i:j].tolist()])
             parts.append(ids)
             i = j
         out, ends = np.empty(int(counts.sum()), dtype=np.int64), np.cumsum(counts)
