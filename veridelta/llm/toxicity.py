@@ -97,27 +97,33 @@ class CharModel:
     def restore(self, token: str) -> str:
         """The likeliest reading of a token as a word; "" if it has no letter reading."""
         log = self.log
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        # a reading is its last letter and the reading before: long runs of letters aren't copied
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         before = ""
         for ch in token:
             options = [(ch, 0.0)] if _LETTER.match(ch) else [(x, SWAP + (0.5 if ch == "*" else 0)) for x in LEET.get(ch, "")]
             skip = AGAIN if ch == before else SKIP if ch in LEET else None if options else DROP
             before = ch
-            after: dict[tuple[int, int], tuple[float, str]] = {}
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (cost, text) in states.items():
-                if ch == GAP and text and not text.endswith(" "):
+                if ch == GAP and text and text[1] != " ":
                     total = cost + BREAK - log[a][b][0]
                     if (0, 0) not in after or after[(0, 0)][0] > total:
-                        after[(0, 0)] = (total, text + " ")
+                        after[(0, 0)] = (total, (text, " "))
                 if skip is not None and ((a, b) not in after or after[(a, b)][0] > cost + skip):
                     after[(a, b)] = (cost + skip, text)
                 for x, extra in options:
                     c = int(_CLASS[ord(x)])
                     total = cost + extra - log[a][b][c]
                     if (b, c) not in after or after[(b, c)][0] > total:
-                        after[(b, c)] = (total, text + x)
+                        after[(b, c)] = (total, (text, x))
             states = after or states
-        return min(((cost - log[a][b][0], text) for (a, b), (cost, text) in states.items() if text), default=(0, ""))[1]
+        letters, text = [], min(((cost - log[a][b][0], (a, b)) for (a, b), (cost, text) in states.items() if text), default=(0, None))[1]
+        text = states[text][1] if text else None
+        while text:
+            text, x = text
+            letters.append(x)
+        return "".join(reversed(letters))
 
 
 @dataclass
