@@ -233,8 +233,8 @@ def test_models(spark):
     assert got["z"] == 0 and got["x"] > 1 and one(out.tables["baseline"]).mae == 0
     lin = v.linear_contributions(df, ["x", "z"], [2.0, 1.0], 0.5, key="id", max_rows=1000)
     assert lin.tables["predictions"].join(df, "id").where("abs(prediction - (2 * x + z + 0.5)) > 1e-9").count() == 0
-    with pytest.raises(RuntimeError):
-        v.tree_contributions(df, v.Model("m", Twice(), ("x",)), key="id")
+    with pytest.raises(ValueError):
+        v.tree_shap(df, v.Model("m", Twice(), ("x",)), key="id")
     again = models.predict(df, v.Model("m", Twice(), ("x", "z")), "p")
     assert models.inconsistent_predictions(again, "id", "y", "p").count() == 0
     c = v.compare_models(df, "y", v.Model("one", Twice(), ("x",)), v.Model("two", Twice(), ("z", "x")), id_column="id")

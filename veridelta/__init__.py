@@ -3,9 +3,11 @@
 from importlib import import_module
 
 _WHERE = {
-    "operators.folds": ("plan_folds", "walk_forward"),
-    "operators.models": ("Model", "linear_contributions", "permutation_importance", "tree_contributions"),
-    "plans.comparison": ("Comparison", "compare_model_set", "compare_models", "compare_prediction_set", "compare_predictions"),
+    "operators.folds": ("TrainableModel", "plan_folds", "walk_forward"),
+    "operators.models": ("Model", "linear_contributions", "permutation_importance"),
+    "operators.shap": ("tree_shap",),
+    "operators.trees": ("Tree", "TreeEnsemble"),
+    "plans.comparison": ("Comparison", "compare_model_set", "compare_models", "compare_prediction_set", "compare_predictions", "walk_forward_compare"),
     "plans.config": ("InferenceConfig", "Roles", "Slice", "TemporalConfig", "TradeViewConfig", "WalkForwardConfig", "default_slices"),
     "plans.report": ("export", "export_walk_forward"),
     "sources.readers": ("attach_predictions", "from_long_predictions", "make_demo", "read_data"),

@@ -7,7 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import apart, bin_label, num
+from ..functions.robust import safe_mean, safe_rms
 from ..plans.config import Slice
+from ..sources.tables import written
+from .quantiles import with_quantiles
 
 SIDES = ("reference", "candidate")
 METRICS = ["n", "entities", "dates", *[f"{s}_{m}" for s in SIDES for m in ("mae", "rmse", "p95", "bias", "median", "within_tolerance_pct")], "mae_delta", "mae_improvement_pct", "p95_delta", "win_rate_pct", "tie_rate_pct", "low_support"]
@@ -18,25 +21,25 @@ def share(cond: Column) -> Column:
     return F.avg(F.when(cond, 100.0).otherwise(0.0))
 
 
-def rms(c: Column) -> Column:
-    return F.sqrt(F.avg(c * c))
-
-
 def metrics(rows: DataFrame, keys: list[str] | None = None, *, tolerance: float = 1.0, min_count: int = 30) -> DataFrame:
-    """A row for each group of keys, or one for all rows."""
+    """A row for each group of keys, or one for all rows.
+
+    The columns it needs are written once; sums and counts are one aggregation over them, quantiles a rank selection."""
+    keys = keys or []
+    thin = written(rows.select(*keys, "__entity", "__date", *[f"__{k}_{s}" for s in SIDES for k in ("error", "ae")]), "paired")
     aggs = [F.count("*").alias("n"), F.count_distinct("__entity").alias("entities"), F.count_distinct("__date").alias("dates")]
     for s in SIDES:
         e, a = F.col(f"__error_{s}"), F.col(f"__ae_{s}")
-        q = F.percentile(a, F.array(F.lit(0.95), F.lit(0.5)))
-        aggs += [F.avg(a).alias(f"{s}_mae"), rms(e).alias(f"{s}_rmse"), q[0].alias(f"{s}_p95"), F.avg(e).alias(f"{s}_bias"), q[1].alias(f"{s}_median"), share(a <= tolerance).alias(f"{s}_within_tolerance_pct")]
+        aggs += [safe_mean(a).alias(f"{s}_mae"), safe_rms(e).alias(f"{s}_rmse"), safe_mean(e).alias(f"{s}_bias"), share(a <= tolerance).alias(f"{s}_within_tolerance_pct")]
     aggs += [share(F.col("__ae_candidate") < F.col("__ae_reference")).alias("win_rate_pct"), share(F.col("__ae_candidate") == F.col("__ae_reference")).alias("tie_rate_pct")]
-    out = rows.groupBy(*(keys or [])).agg(*aggs)
+    out = with_quantiles(thin.groupBy(*keys).agg(*aggs), thin, keys, {f"{s}_q": (f"__ae_{s}", [0.95, 0.5]) for s in SIDES})
+    out = out.withColumns({f"{s}_{n}": F.col(f"{s}_q")[i] for s in SIDES for i, n in enumerate(("p95", "median"))})
     delta = F.col("candidate_mae") - F.col("reference_mae")
     out = out.withColumns({
         "mae_delta": delta, "mae_improvement_pct": F.when(F.col("reference_mae") > 0, -delta / F.col("reference_mae") * 100),
         "p95_delta": F.col("candidate_p95") - F.col("reference_p95"), "low_support": F.col("n") < min_count,
     })
-    return out.select(*(keys or []), *METRICS)
+    return out.select(*keys, *METRICS)
 
 
 def with_label(rows: DataFrame, spec: Slice, name: str = "group") -> DataFrame:

@@ -9,6 +9,10 @@ from ..functions.columns import finite, local_time, num, utc_time
 from ..plans.config import Roles
 
 
+#: The roles that name columns.
+ROLE_COLUMNS = ("actual", "reference", "candidate", "id_column", "time_column", "entity_column", "reference_offset", "candidate_offset")
+
+
 def base_rows(data: DataFrame, roles: Roles) -> DataFrame:
     """All rows with the derived columns; NULL where a value is missing or not finite."""
     kinds = {f.name: f.dataType for f in data.schema}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import floor_bin, local_time, num
 from ..plans.config import Roles, TradeViewConfig, bin_micros
 from .metrics import METRICS, metrics
+from .models import cohort
 from .temporal import bin_range, grid
 
 
@@ -71,7 +72,7 @@ def sampled_points(rows: DataFrame, key: list, config: TradeViewConfig) -> DataF
     """At most max_points rows, those of the smallest seeded hash of the key: the same for any partitioning."""
     color = config.side_column or config.dealer_column or config.counterparty_column
     labels = {"__view_side": category_label(rows, config.side_column, config.max_categories), "__view_color": category_label(rows, color, config.max_categories)}
-    out = rows.withColumn("__h", F.xxhash64(F.lit(config.random_state), *key)).orderBy("__h", *key).limit(config.max_points).drop("__h").withColumns(labels)
+    out = cohort(rows, key, config.max_points, config.random_state).withColumns(labels)
     q = num(config.quantity_column, rows.schema[config.quantity_column].dataType) if config.quantity_column else F.lit(None).cast("double")
     known = F.when(q > 0, q)
     whole = W.partitionBy()  # max_points rows at most

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import utc_time
-from ..operators import diagnostics, folds, metrics, models, prepare, temporal, trades
+from ..operators import diagnostics, folds, metrics, models, prepare, shap, temporal, trades, trees
+from ..operators.folds import TrainableModel
 from ..sources.readers import attach_predictions, from_long_predictions
 from ..sources.views import EVENTS, LINEITEM, ORDERS, events_eval, lineitem_eval, orders_eval
-from .comparison import Comparison, compare_prediction_set, compare_predictions
+from .comparison import Comparison, compare_prediction_set, compare_predictions, walk_forward_compare
 from .config import HOUR_BINS, HOUR_LABELS, InferenceConfig, Slice, TemporalConfig, TradeViewConfig, WalkForwardConfig
 
 HOURS = Slice("__hour", HOUR_BINS, HOUR_LABELS, name="hour")
@@ -153,29 +154,32 @@ def q_label_purge(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(folds.fold_counts(known, "ts", replace(DAYS, label_available_column="label_at")))
 
 
-class _Linear:
-    """spark.ml's linear regression as an estimator of walk_forward."""
+def _linear(features: list[str]):
+    """A pipeline of spark.ml: least squares, solved by the normal equations."""
 
-    def __init__(self, features: list[str], target: str):
-        self.features, self.target = features, target
-
-    def fit(self, train: DataFrame):
+    def make():
+        from pyspark.ml import Pipeline
         from pyspark.ml.feature import VectorAssembler
         from pyspark.ml.regression import LinearRegression
 
-        self.assemble = VectorAssembler(inputCols=self.features, outputCol="cv_features", handleInvalid="skip")
-        self.fitted = LinearRegression(featuresCol="cv_features", labelCol=self.target, predictionCol="prediction").fit(self.assemble.transform(train))
-        return self
+        return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="cv_features", handleInvalid="skip"), LinearRegression(featuresCol="cv_features", labelCol="label", predictionCol="prediction", solver="normal")])
 
-    def transform(self, rows: DataFrame) -> DataFrame:
-        return self.fitted.transform(self.assemble.transform(rows))
+    return make
 
 
-def q_linear_cv(spark: SparkSession, sf: str) -> DataFrame:
+def _walked(spark: SparkSession, sf: str):
     ev = events_eval(spark, sf).where("prediction_a IS NOT NULL")
     config = WalkForwardConfig(min_train_dates=15, validation_dates=5, n_splits=2)
-    out, _ = folds.walk_forward(ev, "actual", "ts", {"both": lambda: _Linear(["prediction_a", "prediction_b"], "actual"), "one": lambda: _Linear(["prediction_a"], "actual")}, config)
-    return tidy(compare_predictions(out, "actual", "cv_one", "cv_both", check=False, time_column="ts", entity_column="entity_id").slice("cv_fold"), 6)
+    one, both = ["prediction_a"], ["prediction_a", "prediction_b"]
+    return walk_forward_compare(ev, "actual", TrainableModel("one", _linear(one), tuple(one)), TrainableModel("both", _linear(both), tuple(both)), time_column="ts", settings=config, entity_column="entity_id", id_column="row_id")
+
+
+def q_linear_cv(spark: SparkSession, sf: str) -> DataFrame:
+    return tidy(_walked(spark, sf).fold_metrics, 6)
+
+
+def q_linear_oof(spark: SparkSession, sf: str) -> DataFrame:
+    return tidy(_walked(spark, sf).predictions.select("row_id", "cv_fold", "cv_1", "cv_2"), 6)
 
 
 WEIGHTS = (1.5, -2.0, 0.5, 3.0)
@@ -194,14 +198,42 @@ def _features(spark: SparkSession, sf: str) -> DataFrame:
 def q_permutation(spark: SparkSession, sf: str) -> DataFrame:
     model = models.Model("weights", _Weights(), ("f0", "f1", "f2", "f3"))
     out = models.permutation_importance(_features(spark, sf), "target", model, key="vec_id", groups={"f0+f1": ["f0", "f1"]}, max_rows=50_000)
-    return tidy(out.tables["importance"])
+    return tidy(out.tables["importance"].withColumn("feature_columns", F.concat_ws(",", "feature_columns")))
 
 
 def q_linear_shap(spark: SparkSession, sf: str) -> DataFrame:
-    out = models.linear_contributions(_features(spark, sf), ["f0", "f1", "f2", "f3"], list(WEIGHTS), 0.25, key="vec_id", max_rows=50_000)
+    out = models.linear_contributions(_features(spark, sf), ["f0", "f1", "f2", "f3"], list(WEIGHTS), 0.25, key="vec_id", max_rows=None)
     return tidy(out.tables["global_importance"])
 
 
+#: Fitted trees as (feature, threshold, training rows, left, right), leaves as (value, training rows), and their constant.
+TREES = (
+    (0, 0.0, 100, (1, 0.05, 60, (1.0, 40), (3.0, 20)), (2, -0.05, 40, (-2.0, 15), (0.5, 25))),
+    (3, 0.02, 100, (0, -0.04, 50, (0.25, 20), (1.5, 30)), (-1.0, 50)),
+    (1, 0.0, 100, (1, -0.06, 45, (2.0, 20), (0, 0.03, 25, (-0.5, 10), (4.0, 15))), (0.0, 55)),
+)
+BIAS = 0.25
+
+
+def _tree_model() -> models.Model:
+    return models.Model("trees", trees.TreeEnsemble(tuple(trees.from_nested(t) for t in TREES), BIAS), ("f0", "f1", "f2", "f3"), offset="target")
+
+
+def q_tree_contributions(spark: SparkSession, sf: str) -> DataFrame:
+    return tidy(shap.contributions(_features(spark, sf), _tree_model(), key="vec_id").drop("feature_value"))
+
+
+def q_tree_shap(spark: SparkSession, sf: str) -> DataFrame:
+    return tidy(shap.tree_shap(_features(spark, sf), _tree_model(), key="vec_id", actual="target", max_rows=None, error_scale=2.0).tables["global_importance"])
+
+
+def q_tree_residuals(spark: SparkSession, sf: str) -> DataFrame:
+    """The largest residuals' contributions: actual values differ from the offset by a constant here, so predictions rank."""
+    rows = _features(spark, sf).withColumn("seen", F.col("target") + 0.5)
+    out = shap.tree_shap(rows, _tree_model(), key="vec_id", actual="seen", max_rows=None, max_local_rows=15)
+    return tidy(out.tables["local_contributions"].drop("feature_value"))
+
+
 def q_scored(spark: SparkSession, sf: str) -> DataFrame:
     rows = models.predict(_features(spark, sf), models.Model("weights", _Weights(), ("f0", "f1", "f2", "f3"), offset="target"), "prediction")
     return tidy(rows.select("vec_id", "prediction"))
@@ -262,9 +294,13 @@ QUERIES = {
     "walk_forward_folds": q_folds,
     "label_purge": q_label_purge,
     "linear_cv": q_linear_cv,
+    "linear_oof": q_linear_oof,
     "model_scores": q_scored,
     "permutation_importance": q_permutation,
     "linear_shap": q_linear_shap,
+    "tree_contributions": q_tree_contributions,
+    "tree_shap": q_tree_shap,
+    "tree_residuals": q_tree_residuals,
     "local_time": q_local_time,
     "lineitem_slices": lambda s, d: tidy(lineitems(s, d).slice("l_returnflag"), 6),
     "orders_dates": lambda s, d: tidy(orders(s, d).slice(Slice("__date", top_n=40)), 6),

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import diagnostics, filters, inference, metrics, models, prepare, temporal, trades
-from .config import Explanation, InferenceConfig, Roles, Slice, TemporalConfig, TradeViewConfig, default_slices
+from ..operators import diagnostics, filters, folds, inference, metrics, models, prepare, shap, temporal, trades
+from ..sources.tables import discard, written
+from .config import Explanation, InferenceConfig, Roles, Slice, TemporalConfig, TradeViewConfig, WalkForwardConfig, default_slices
 
 
 @dataclass(frozen=True)
@@ -23,11 +25,29 @@ class Comparison:
     offsets: dict = field(default_factory=dict)
     models: dict = field(default_factory=dict)  # display name -> fitted Model
     explanations: dict = field(default_factory=dict)
+    prepared: DataFrame | None = None  # the evaluation rows, where prepare() has written them
+    written_at: str | None = None
 
     # rows
     @property
     def base(self) -> DataFrame:
-        return prepare.base_rows(self.data, self.roles)
+        return prepare.base_rows(self.data, self.roles) if self.prepared is None else self.prepared
+
+    def prepare(self, columns: list[str] | None = None) -> Comparison:
+        """The same with its evaluation rows written once: all tables, and those of its filters, are read from there, and
+        nothing that the source is made of runs again. columns: what is kept beside the roles' columns (all by default).
+        The files live until release(), or until the shared folder is cleared."""
+        if self.prepared is not None:
+            return self
+        base = prepare.base_rows(self.data, self.roles)
+        kept = set(self.data.columns) if columns is None else {c for c in [*columns, *self.predictions.values(), *self.offsets.values(), *[v for k, v in asdict(self.roles).items() if k in prepare.ROLE_COLUMNS]] if c}
+        table = written(base.select(*[F.col(f"`{c}`") for c in base.columns if c.startswith("__") or c in kept]), "comparison")
+        return replace(self, data=table.select(*[F.col(f"`{c}`") for c in table.columns if not c.startswith("__")]), prepared=table, written_at=table.written_at)
+
+    def release(self) -> None:
+        """Deletes what prepare() wrote; tables not yet read, and other comparisons made of this one, are lost."""
+        if self.written_at:
+            discard(self.data.sparkSession, self.written_at)
 
     @property
     def rows(self) -> DataFrame:
@@ -123,14 +143,15 @@ class Comparison:
     def filter(self, column: str, **options) -> Comparison:
         """Fewer rows of the source; conditions add up, explanations of the larger population go."""
         keep = self.data.where(filters.condition(self.data, column, **options))
-        return replace(self, data=keep, filters=(*self.filters, {"column": column, **options}), explanations={})
+        ready = None if self.prepared is None else self.prepared.where(filters.condition(self.data, column, **options))
+        return replace(self, data=keep, prepared=ready, filters=(*self.filters, {"column": column, **options}), explanations={})
 
     def select_models(self, reference: str, candidate: str) -> Comparison:
         """Another pair of the columns that were given or scored; nothing is predicted again."""
         if missing := {reference, candidate} - set(self.predictions):
             raise ValueError(f"no such models: {sorted(missing)}")
         roles = replace(self.roles, reference=self.predictions[reference], candidate=self.predictions[candidate], reference_name=reference, candidate_name=candidate, reference_offset=self.offsets.get(reference), candidate_offset=self.offsets.get(candidate))
-        return replace(self, roles=roles, explanations={})
+        return replace(self, roles=roles, explanations={}, prepared=None)
 
     def _explained(self, name: str | None) -> tuple[str, models.Model]:
         name = name or self.roles.candidate_name
@@ -138,15 +159,27 @@ class Comparison:
             raise ValueError(f"no fitted model {name!r}")
         return name, self.models[name]
 
-    def permutation_importance(self, model: str | None = None, *, population: str = "paired", **options) -> Explanation:
+    def _fitted_rows(self, model: str | None, population: str) -> tuple[str, models.Model, DataFrame]:
         name, fitted = self._explained(model)
         if not self.roles.id_column:
             raise ValueError("map the id column first")
-        rows = self.rows if population == "paired" else self.data
+        if fitted.offset != self.offsets.get(name, fitted.offset):
+            raise ValueError(f"{name}: the model's offset isn't the comparison's")
+        return name, fitted, self._population(population)
+
+    def permutation_importance(self, model: str | None = None, *, population: str = "paired", **options) -> Explanation:
+        name, fitted, rows = self._fitted_rows(model, population)
         out = models.permutation_importance(rows, self.roles.actual, fitted, key=self.roles.id_column, error_scale=self.roles.error_scale, **options)
         self.explanations[f"permutation:{name}"] = out
         return out
 
+    def shap_values(self, model: str | None = None, *, population: str = "candidate", **options) -> Explanation:
+        """TreeSHAP of a fitted model of this comparison, on its own rows."""
+        name, fitted, rows = self._fitted_rows(model, population)
+        out = shap.tree_shap(rows, fitted, key=self.roles.id_column, actual=self.roles.actual, error_scale=self.roles.error_scale, **options)
+        self.explanations[f"shap:{name}"] = out
+        return out
+
     def fingerprint(self) -> str:
         """SHA-256 of the schema and an order-free sum of row hashes: it does not depend on row order or partitioning."""
         columns = [F.col(f"`{c}`") for c in self.data.columns]
@@ -178,11 +211,38 @@ def compare_prediction_set(data: DataFrame, actual: str, predictions: dict[str,
 
 
 def compare_model_set(data: DataFrame, actual: str, fitted: list[models.Model], **options) -> Comparison:
-    """Two or more fitted models, each scored once; keep the result persisted if several tables are read from it."""
+    """Two or more fitted models. Their predictions are written: each model sees each row once, whatever is read later."""
     scored, columns = models.score_models(data, fitted)
+    scored = written(scored, "scored")
     out = compare_prediction_set(scored, actual, {m.name: c for m, c in zip(fitted, columns, strict=True)}, **options)
     return replace(out, models={m.name: m for m in fitted})
 
 
 def compare_models(data: DataFrame, actual: str, reference: models.Model, candidate: models.Model, **options) -> Comparison:
     return compare_model_set(data, actual, [reference, candidate], **options)
+
+
+def walk_forward_compare(data: DataFrame, target: str, reference: folds.TrainableModel, candidate: folds.TrainableModel, *, time_column: str, settings: WalkForwardConfig | None = None, actual: str | None = None, id_column: str | None = None, entity_column: str | None = None, timezone: str = "UTC", error_scale: float = 1.0, unit: str = "target units", tolerance: float = 1.0, min_count: int = 30, progress: Callable[[dict], None] | None = None) -> folds.WalkForwardResult:
+    """Fits two models anew for every fold and compares their out-of-fold predictions, pooled and by fold.
+
+    Pooled metrics count rows alike; fold_metrics is a row for each fold, from one pass, with its training and validation
+    rows. actual may be a level that the offsets restore from predicted changes; it is the target unless given."""
+    settings = settings or WalkForwardConfig()
+    if id_column:
+        from ..sources.readers import check_key
+
+        check_key(data, [id_column], "data")
+    out, plan = folds.walk_forward(data, target, time_column, [reference, candidate], settings, zone=timezone, actual=actual, progress=progress)
+    roles = {"reference_name": reference.name, "candidate_name": candidate.name, "id_column": id_column, "time_column": time_column, "entity_column": entity_column, "timezone": timezone, "error_scale": error_scale, "unit": unit, "tolerance": tolerance, "reference_offset": reference.offset, "candidate_offset": candidate.offset}
+    c = compare_predictions(out, actual or target, "cv_1", "cv_2", check=False, **roles)
+    counts = data.sparkSession.createDataFrame([(f["fold"], f["train_rows"], f["validation_rows"]) for f in plan], "fold_id int, train_finite_target_rows long, validation_input_rows long")
+    by_fold = metrics.metrics(c.rows, ["cv_fold"], tolerance=tolerance, min_count=min_count)
+    by_fold = counts.join(by_fold, F.col("fold_id") == F.col("cv_fold"), "left").drop("cv_fold").withColumns({"n": F.coalesce("n", F.lit(0)), "low_support": F.coalesce("low_support", F.lit(True))})
+    rows, scored = data.count(), sum(f["validation_rows"] for f in plan)
+    about = lambda m: {"name": m.name, "features": list(m.features), "offset": m.offset, "factory": getattr(m.factory, "__qualname__", type(m.factory).__qualname__), "transformer": m.transformer_factory is not None}
+    configuration = {
+        "settings": asdict(settings), "target": target, "actual": actual or target, "time_column": time_column, "timezone": timezone, "reference": about(reference), "candidate": about(candidate), "input_rows": rows, "oof_rows": scored, "unscored_rows": rows - scored,
+        "folds": len(plan), "final_holdout_evaluated": False, "labels_assumed_available_at_record_time": settings.label_available_column is None,
+        "note": "rows before the first fold, in gaps, after the last whole fold and in the reserve are not scored",
+    }
+    return folds.WalkForwardResult(c, out, plan, by_fold.select("fold_id", "train_finite_target_rows", "validation_input_rows", *metrics.METRICS), configuration)

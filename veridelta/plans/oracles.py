@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .catalog import WEIGHTS
+from .catalog import BIAS, TREES, WEIGHTS
 
 EV = """ev AS (SELECT event_id AS row_id, ts, CAST(user_id AS varchar) AS entity_id, event_type AS segment, value AS actual,
  lag(value, 1) OVER w AS prediction_a, avg(value) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS prediction_b
@@ -106,6 +106,68 @@ def folds(label: str) -> str:
 FEATURES = "f AS (SELECT vec_id, CAST(label AS DOUBLE) AS target, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS f{i}" for i in range(4)) + " FROM embeddings)"
 LONG = f"{EV.replace('ev AS', 'ev0 AS', 1)}, ev AS (SELECT row_id, ts, entity_id, segment, actual, CASE WHEN strftime(ts, '%d') > '20' THEN prediction_a END AS prediction_a, CASE WHEN strftime(ts, '%d') > '20' THEN prediction_b END AS prediction_b FROM ev0)"
 
+
+
+def _leaves() -> str:
+    """(leaf, v, f, threshold, is_left, share) of every split on every leaf's path."""
+    rows, leaf = [], 0
+
+    def walk(node: tuple, path: list) -> None:
+        nonlocal leaf
+        if len(node) == 2:
+            rows.extend(f"({leaf}, {node[0]}::DOUBLE, {f}, {t}::DOUBLE, {left}, {share!r}::DOUBLE)" for f, t, left, share in path)
+            leaf += 1
+            return
+        f, t, n, a, b = node
+        for child, left in ((a, "true"), (b, "false")):
+            walk(child, [*path, (f, t, left, child[2 if len(child) > 2 else 1] / n)])
+
+    for tree in TREES:
+        walk(tree, [])
+    return "leaves AS (SELECT * FROM (VALUES " + ", ".join(rows) + ") x(leaf, v, f, threshold, is_left, share))"
+
+
+#: Shapley values by all subsets: the trees' expectations where a set of features is known, weighted over the sets without a feature.
+SHAPLEY = f"""{FEATURES}, {_leaves()}, x AS (SELECT vec_id, target, unnest([f0, f1, f2, f3]) AS x, unnest([0, 1, 2, 3]) AS f FROM f),
+ part AS (SELECT vec_id, s, leaf, any_value(v) * product(CASE WHEN (s >> l.f) & 1 = 1 THEN ((x <= threshold) = is_left)::INT::DOUBLE ELSE share END) AS p FROM x JOIN leaves l USING (f), range(16) r(s) GROUP BY vec_id, s, leaf),
+ known AS (SELECT vec_id, s, sum(p) + {BIAS} AS e FROM part GROUP BY vec_id, s),
+ shap AS (SELECT a.vec_id, f, sum((b.e - a.e) * [0.25, 1 / 12.0, 1 / 12.0, 0.25][bit_count(a.s::INT) + 1]) AS shap_value FROM known a JOIN range(4) q(f) ON (a.s >> f) & 1 = 0 JOIN known b ON b.vec_id = a.vec_id AND b.s = a.s | (1 << f) GROUP BY a.vec_id, f)"""
+
+#: Each feature, then the group, each shuffled five times by the same hash.
+PERMUTED = f"""{FEATURES}, e AS (SELECT *, {' + '.join(f'f{i} * ({w})' for i, w in enumerate(WEIGHTS))} - target AS e0 FROM f), g AS (SELECT * FROM (VALUES ('f0', [0]), ('f1', [1]), ('f2', [2]), ('f3', [3]), ('f0+f1', [0, 1])) x(g, m)),
+ a AS (SELECT *, row_number() OVER (PARTITION BY g, r ORDER BY vec_id) AS p, row_number() OVER (PARTITION BY g, r ORDER BY md5('0:' || vec_id || ':' || g || ':' || r), vec_id) AS q FROM e, g, range(1, 6) x(r)),
+ b AS (SELECT a.g, a.m, a.r, a.e0, {' + '.join(f'(CASE WHEN list_contains(a.m, {i}) THEN s.f{i} ELSE a.f{i} END) * ({w})' for i, w in enumerate(WEIGHTS))} - a.target AS e1 FROM a JOIN a s ON s.g = a.g AND s.r = a.r AND s.q = a.p),
+ per AS (SELECT g, m, r, count(*) AS n, avg(abs(e1)) - avg(abs(e0)) AS mae, sqrt(avg(e1 * e1)) - sqrt(avg(e0 * e0)) AS rmse FROM b GROUP BY g, m, r)"""
+
+
+def walked(name: str, features: list[str]) -> str:
+    """Out-of-fold predictions of least squares by its closed form, for one feature or two."""
+    x = features[-1]
+    m = f"avg(actual) AS my, avg(prediction_a) AS ma, avg({x}) AS mb, covar_pop(actual, prediction_a) AS ya, covar_pop(actual, {x}) AS yb, var_pop(prediction_a) AS aa, var_pop({x}) AS bb, covar_pop(prediction_a, {x}) AS ab"
+    if len(features) == 1:
+        return f"{name} AS (SELECT row_id, my + ya / aa * (prediction_a - ma) AS {name} FROM valid JOIN (SELECT fold, {m} FROM train GROUP BY fold) USING (fold))"
+    return f"{name} AS (SELECT row_id, my + (ya * bb - yb * ab) / (aa * bb - ab * ab) * (prediction_a - ma) + (yb * aa - ya * ab) / (aa * bb - ab * ab) * (prediction_b - mb) AS {name} FROM valid JOIN (SELECT fold, {m} FROM train GROUP BY fold) USING (fold))"
+
+
+CV = f"""{EV}, ok AS (SELECT *, CAST(ts AS DATE) AS day, dense_rank() OVER (ORDER BY CAST(ts AS DATE)) - 1 AS i FROM ev WHERE prediction_a IS NOT NULL), n AS (SELECT max(i) + 1 AS n FROM ok),
+ starts AS (SELECT s, row_number() OVER (ORDER BY s) AS fold FROM (SELECT unnest(range(15, (SELECT n FROM n) - 4, 5)) AS s ORDER BY s DESC LIMIT 2)),
+ train AS (SELECT fold, ok.* FROM ok JOIN starts ON i < s), valid AS (SELECT fold, ok.* FROM ok JOIN starts ON i >= s AND i < s + 5), {walked('cv_1', ['prediction_a'])}, {walked('cv_2', ['prediction_a', 'prediction_b'])}, oof AS (SELECT * FROM valid JOIN cv_1 USING (row_id) JOIN cv_2 USING (row_id))"""
+
+
+def shifts(least: int, penalty: float, most: int) -> str:
+    """Greedy binary segmentation, a split at a time."""
+    out = f"""WITH {EV}, {errors()}, day AS (SELECT epoch_us(ts) // 86400000000 AS bin, avg(ec) AS y FROM candidate GROUP BY 1), n AS (SELECT count(*) AS n, avg(y) AS mean FROM day), top AS (SELECT max(abs(y - mean)) AS top FROM day, n),
+ z AS (SELECT row_number() OVER (ORDER BY bin) - 1 AS i, bin, y, (y - mean) / top AS z FROM day, n, top), price AS (SELECT {penalty} * var_pop(z) * ln(count(*)) AS price FROM z), p AS (SELECT 0 AS k, 0.0::DOUBLE AS s UNION ALL SELECT i + 1, sum(z) OVER (ORDER BY i) FROM z), seg0 AS (SELECT 0 AS a, n AS b FROM n)"""
+    for j in range(1, most + 1):
+        out += f""", best{j} AS (SELECT {j}::BIGINT AS rank, g.a, k.k, g.b, greatest((k.s - pa.s) ** 2 / (k.k - g.a) + (pb.s - k.s) ** 2 / (g.b - k.k) - (pb.s - pa.s) ** 2 / (g.b - g.a), 0) AS gain FROM seg{j - 1} g JOIN p k ON k.k BETWEEN g.a + {least} AND g.b - {least} JOIN p pa ON pa.k = g.a JOIN p pb ON pb.k = g.b ORDER BY gain DESC, g.a, k.k LIMIT 1),
+ ok{j} AS (SELECT best{j}.* FROM best{j}, price WHERE gain > price), seg{j} AS (SELECT a, b FROM seg{j - 1} ANTI JOIN ok{j} USING (a, b) UNION ALL SELECT a, k FROM ok{j} UNION ALL SELECT k, b FROM ok{j})"""
+    at = lambda x: f"strftime(make_timestamp({x}), '%Y-%m-%d %H:%M:%S')"
+    middle = "86400000000 + 43200000000"
+    return out + f""" SELECT rank, {at(f'l.bin * {middle}')} AS left_time, {at(f'r.bin * {middle}')} AS right_time, {at(f'(l.bin + r.bin) * 43200000000 + 43200000000')} AS boundary_time, f.k - f.a AS left_n, f.b - f.k AS right_n,
+ {r('(SELECT avg(y) FROM z WHERE i >= f.a AND i < f.k)', 'mean_before')}, {r('(SELECT avg(y) FROM z WHERE i >= f.k AND i < f.b)', 'mean_after')}, {r('gain', 'reduction_normalized')}, {r('price', 'penalty_normalized')}
+ FROM ({' UNION ALL '.join(f'SELECT * FROM ok{j}' for j in range(1, most + 1))}) f JOIN z l ON l.i = f.k - 1 JOIN z r ON r.i = f.k, price"""
+
+
 ORACLE_SQL = {
     "coverage": gap_coverage(),
     "paired_summary": summary(),
@@ -170,6 +232,17 @@ ORACLE_SQL = {
     "label_purge": folds("CAST(CASE WHEN event_id % 17 <> 0 THEN ts + INTERVAL 2 DAY END AS DATE)"),
     "model_scores": f"WITH {FEATURES} SELECT vec_id, {r('target + ' + ' + '.join(f'f{i} * ({w})' for i, w in enumerate(WEIGHTS)), 'prediction')} FROM f",
     "linear_shap": f"WITH {FEATURES}, c AS (" + " UNION ALL ".join(f"SELECT 'f{i}' AS feature, {w} * (f{i} - avg(f{i}) OVER ()) AS x FROM f" for i, w in enumerate(WEIGHTS)) + f") SELECT feature, {r('avg(abs(x))', 'mean_abs_contribution')}, {r('avg(x)', 'mean_contribution')}, count(*) AS n FROM c GROUP BY 1",
+    "permutation_importance": f"WITH {PERMUTED} SELECT g AS feature_group, max(n) AS n, {r('avg(mae)', 'mae_increase')}, {r('stddev_samp(mae)', 'mae_increase_sd')}, {r('avg(rmse)', 'rmse_increase')}, {r('stddev_samp(rmse)', 'rmse_increase_sd')}, count(*) AS repeats, array_to_string(list_transform(m, lambda i: 'f' || i), ',') AS feature_columns, len(m) AS feature_count FROM per GROUP BY g, m",
+    "sampled_points": f"""WITH {EV}, {errors()}, top AS (SELECT segment AS t FROM paired GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 3), s AS (SELECT * FROM paired ORDER BY md5('0:' || row_id), row_id LIMIT 2000),
+ v AS (SELECT row_id, CASE WHEN segment IS NULL THEN 'Missing (not supplied)' WHEN segment IN (SELECT t FROM top) THEN 'Value: ' || segment ELSE 'Other categories (display only)' END AS side, CASE WHEN actual > 0 THEN actual END AS q FROM s)
+ SELECT row_id, side AS view_side, side AS view_color, {r('12 + 128 * sqrt(coalesce(q / max(q) OVER (), 0))', 'view_size')}, CASE WHEN q IS NULL THEN 'unknown/nonpositive' ELSE 'positive' END AS view_quantity_status FROM v""",
+    "local_time": "SELECT event_id, strftime(ts + INTERVAL 5 HOUR, '%Y-%m-%d %H:%M:%S') AS at FROM events",
+    "mean_shift": shifts(2, 0.1, 3),
+    "linear_oof": f"WITH {CV} SELECT row_id, fold AS cv_fold, {r('cv_1', 'cv_1', 6)}, {r('cv_2', 'cv_2', 6)} FROM oof",
+    "linear_cv": f"WITH {CV}, {errors('oof', a='cv_1', b='cv_2')} SELECT fold AS fold_id, any_value(t.k) AS train_finite_target_rows, count(*) AS validation_input_rows, {metrics(1.0, 6)} FROM paired JOIN (SELECT fold, count(*) AS k FROM train GROUP BY fold) t USING (fold) GROUP BY fold",
+    "tree_contributions": f"WITH {SHAPLEY} SELECT vec_id, 'f' || f AS feature, {r('shap_value', 'shap_value')}, (SELECT {r('max(e)', 'e')} FROM known WHERE s = 0) AS base_value FROM shap",
+    "tree_shap": f"WITH {SHAPLEY} SELECT 'f' || f AS feature, {r('2 * avg(abs(shap_value))', 'mean_abs_shap')}, {r('2 * avg(shap_value)', 'mean_signed_shap')}, count(*) AS n FROM shap GROUP BY f",
+    "tree_residuals": f"WITH {SHAPLEY}, worst AS (SELECT vec_id FROM known WHERE s = 15 ORDER BY abs(e - 0.5) DESC, vec_id LIMIT 15) SELECT vec_id, 'f' || f AS feature, {r('shap_value', 'shap_value')}, {r('shap_value', 'shap_value_scaled')} FROM shap JOIN worst USING (vec_id)",
     "lineitem_slices": f"""WITH ev AS (SELECT l_suppkey, l_extendedprice, l_returnflag, l_shipdate, l_quantity * p_retailprice AS prediction_a, avg(l_extendedprice) OVER (PARTITION BY l_returnflag) AS prediction_b FROM lineitem JOIN part ON l_partkey = p_partkey),
  {errors(actual='l_extendedprice', time='l_shipdate', entity='l_suppkey')} SELECT l_returnflag AS "group", {metrics(1000.0, 6)} FROM paired GROUP BY 1""",
     "orders_dates": f"""WITH ev AS (SELECT *, avg(o_totalprice) OVER (PARTITION BY o_orderstatus) AS prediction_a, avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prediction_b FROM orders),
