@@ -312,3 +312,14 @@ def test_saved_prediction_without_the_model_s(spark):
 
     df = spark.createDataFrame([(1, 1.0, 1.0), (2, None, 1.0), (3, 1.0, None), (4, None, None), (5, 1.0, 1.1)], "k int, s double, m double")
     assert sorted(r.k for r in inconsistent_predictions(df, "k", "s", "m").collect()) == [2, 3, 5]
+
+
+def test_text_times_that_name_no_known_zone(spark):
+    rows = ["2026-01-01 12:00:00 EST", "2026-01-01 12:00:00 PST", "2026-01-01 12:00 noon", "2026-01-01 12:00:00.5", "2026-1-2", "2026-01-01 12:00:00 UTC"]
+    df = spark.createDataFrame([(t,) for t in rows], "t string")
+    got = [r[0] for r in df.select(columns.utc_time("t", df.schema["t"].dataType, "America/New_York").cast("string")).collect()]
+    assert got == [None, None, None, "2026-01-01 17:00:00.5", "2026-01-02 05:00:00", "2026-01-01 12:00:00"]
+    mixed = spark.createDataFrame([(1.0, 1.0, 2.0, "2026-01-01 12:00:00"), (1.0, 1.0, 2.0, "2026-01-01 12:00:00Z")], "y double, a double, b double, t string")
+    with pytest.raises(ValueError, match="mixes"):
+        v.compare_predictions(mixed, "y", "a", "b", time_column="t")
+    assert v.compare_predictions(mixed.limit(1), "y", "a", "b", time_column="t").coverage().first().missing_time == 0

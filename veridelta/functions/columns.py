@@ -14,6 +14,14 @@ _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 #: A time of day, then Z, an offset or a zone's name.
 _ZONED = r"\d:\d{2}(:\d{2}(\.\d+)?)?\s*([Zz]|[+-]\d{1,2}(:?\d{2})?|UTC|GMT|[A-Z][A-Za-z_]+/[A-Za-z_/]+)\s*$"
+#: A date, or a date and a time of day, alone.
+_LOCAL = r"^\s*\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d*)?)?)?\s*$"
+
+
+def text_time_kinds(name: str) -> tuple[Column, Column]:
+    """Whether a text names a zone of its own, and whether it is a local time: a column should hold one kind."""
+    c = F.col(f"`{name}`")
+    return c.rlike(_ZONED), c.rlike(_LOCAL)
 
 
 def finite(c: Column) -> Column:
@@ -31,12 +39,13 @@ def num(name: str, kind: DataType) -> Column:
 
 def utc_time(name: str, kind: DataType, zone: str) -> Column:
     """A column as a UTC instant. Local times that a clock change skips or repeats are NULL. A text that names its own
-    zone or offset is that instant; other texts are local times, row by row."""
+    zone or offset is that instant, one without is a local time; a text with anything else behind the time, such as an
+    abbreviation, which may mean several zones, is NULL."""
     c = F.col(f"`{name}`")
     if isinstance(kind, TimestampType):
         return c
     if isinstance(kind, StringType):
-        return F.when(c.rlike(_ZONED), c.try_cast("timestamp")).otherwise(_from_local(c.try_cast("timestamp_ntz"), zone))
+        return F.when(c.rlike(_ZONED), c.try_cast("timestamp")).when(c.rlike(_LOCAL), _from_local(c.try_cast("timestamp_ntz"), zone))
     return _from_local(c.cast("timestamp_ntz"), zone)
 
 

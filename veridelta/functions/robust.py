@@ -48,3 +48,10 @@ def share_of(part: Column, total: Column) -> Column:
     extreme = total["large"] > 0
     whole = lambda t: t["scaled"] + t["plain"] * SHIFT
     return F.when(extreme, whole(part) / whole(total) * 100).when(total["plain"] > 0, part["plain"] / total["plain"] * 100).otherwise(0.0)
+
+
+def piece_between(v: Column, low: Column, high: Column, pieces: int) -> Column:
+    """Which of the equal pieces from low to high (low < high) v is in, from 0: never falls as v grows, whatever the span."""
+    span = high - low
+    part = F.when(F.abs(span) < float("inf"), F.try_divide(v - low, span)).otherwise(F.try_divide(v / 2 - low / 2, high / 2 - low / 2))
+    return F.least(F.floor(part * pieces), F.lit(pieces - 1)).cast("int")

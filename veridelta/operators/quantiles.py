@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.robust import piece_between
 from ..sources.tables import written
 
 OCTAVE, PIECES = 2048, 4096
@@ -40,7 +41,7 @@ def quantiles(rows: DataFrame, keys: list[str], wanted: dict[str, tuple[str, lis
     if taken := set(keys) & {"c", "v", "b", "n", "lo", "hi", "k", "i", "r", "z", "side", "part", "before", "total"}:
         raise ValueError(f"keys of other names than {sorted(taken)} are needed")
     names = list(wanted)
-    levels = F.array(*[F.array(*[F.lit(float(p)) for p in p_list]) for _, p_list in wanted.values()])
+    levels = F.array(*[F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(p_list)]) for _, p_list in wanted.values()])
     value = lambda c: F.col(c).cast("double")
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), value(column).alias("v")) for i, (column, _) in enumerate(wanted.values())]))
     long = rows.select(*keys, each.alias("z")).select(*keys, F.col("z.c").alias("c"), F.col("z.v").alias("v")).where("v IS NOT NULL")
@@ -49,8 +50,8 @@ def quantiles(rows: DataFrame, keys: list[str], wanted: dict[str, tuple[str, lis
     cells = long.groupBy(*group, _range(F.col("v")).alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     cells = cells.withColumns({"before": F.sum("n").over(whole.orderBy("b").rowsBetween(W.unboundedPreceding, 0)) - F.col("n"), "total": F.sum("n").over(whole)})
     at = lambda p: p * (F.col("total") - 1)
-    ranks = F.flatten(F.transform(F.element_at(levels, F.col("c") + 1), lambda p, i: F.array(*[
-        F.struct(i.alias("i"), F.lit(s).alias("side"), f(at(p)).cast("long").alias("k"), (at(p) - F.floor(at(p))).alias("part")) for s, f in ((0, F.floor), (1, F.ceil))])))
+    here = F.filter(F.element_at(levels, F.col("c") + 1), lambda z: (F.ceil(at(z["p"])) >= F.col("before")) & (F.floor(at(z["p"])) < F.col("before") + F.col("n")))
+    ranks = F.flatten(F.transform(here, lambda z: F.array(*[F.struct(z["i"].alias("i"), F.lit(s).alias("side"), f(at(z["p"])).cast("long").alias("k"), (at(z["p"]) - F.floor(at(z["p"]))).alias("part")) for s, f in ((0, F.floor), (1, F.ceil))])))
     inside = F.filter(ranks, lambda r: (r["k"] >= F.col("before")) & (r["k"] < F.col("before") + F.col("n")))
     state = cells.select(*group, "n", "lo", "hi", "before", F.explode(inside).alias("r")).select(*group, "r.i", "r.side", "r.part", (F.col("r.k") - F.col("before")).alias("k"), "n", "lo", "hi")
     done = []
@@ -63,7 +64,7 @@ def quantiles(rows: DataFrame, keys: list[str], wanted: dict[str, tuple[str, lis
         most = left.agg(F.max("n")).first()[0]
         if most is None:
             break
-        cut = F.least(F.floor((F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * PIECES), F.lit(PIECES - 1))
+        cut = piece_between(F.col("v"), F.col("lo"), F.col("hi"), PIECES)
         if most <= FEW:
             found = _narrowed(long, left, group, F.col("v"))
             done.append(found.withColumn("v", F.col("lo")))

@@ -85,3 +85,27 @@ def entity_audit(rows: DataFrame) -> DataFrame:
     """One row: rows of entities that have a single one, and rows without an entity."""
     counts = rows.groupBy("__entity").agg(F.count("*").alias("n"))
     return counts.agg(F.coalesce(F.sum(F.when(F.col("__entity").isNotNull() & (F.col("n") == 1), 1)), F.lit(0)).alias("singleton_entity_rows"), F.coalesce(F.sum(F.when(F.col("__entity").isNull(), F.col("n"))), F.lit(0)).alias("missing_entity_rows"))
+
+
+#: What the coordinates of each view are.
+_VIEWS = {
+    "residual": "prediction less actual in the error unit: zero is exact",
+    "within_entity": "less the entity's mean actual over all paired rows, times the error scale: a look back, no feature; rows without an entity have none, an entity's only row is zero",
+    "level": "levels in the source's unit; distances between entities can hide errors that matter",
+}
+
+
+def view_audit(whole: DataFrame, placed: DataFrame, points: DataFrame, bins: DataFrame, roles: Roles, config: TradeViewConfig) -> dict:
+    """What the view shows and leaves out, in four small jobs: counts of rows, entities, points and bins."""
+    n, timed, unplaced = placed.agg(F.count("*"), F.count("__time"), F.count_if(~F.col("__view_valid"))).first()
+    shown, sampled = points.agg(F.count_if("__view_valid"), F.count("*")).first()
+    total, supported, empty = bins.agg(F.count("*"), F.count_if("supported"), F.count_if(F.col("n") == 0)).first()
+    roles_of_color = {"side": config.side_column, "dealer": config.dealer_column, "counterparty": config.counterparty_column}
+    role = next((k for k, v in roles_of_color.items() if v), "unmapped")
+    return {
+        "paired_rows": n, "input_paired_rows": whole.count(), "timed_rows": timed, "missing_time_rows": n - timed, "timezone": roles.timezone, "clock": "bins of elapsed UTC time, labels in local time",
+        "plotted_rows": shown, "sampled_rows": sampled, "sampled": sampled < n, "random_state": config.random_state, "total_bins": total, "supported_bins": supported, "empty_bins": empty, "min_count": config.min_count,
+        "id_column": roles.id_column, "entity_column": roles.entity_column, "actual_column": roles.actual, "level_unit": "source target units", "error_unit": roles.unit, "point_view": config.point_view, "focus_entity": config.focus_entity,
+        "view_note": _VIEWS[config.point_view], "missing_view_rows": unplaced, **entity_audit(placed).first().asDict(), "color_column": roles_of_color.get(role), "color_role": role, "side_encoding": "color",
+        "symbol_encoding": "error of each prediction" if config.point_view == "residual" else "actual and each prediction", "point_sampling": "rows of the smallest seeded hash; metrics are of all rows", "size_scaling": "12 + 128 * sqrt(quantity / largest sampled quantity); 12 if unknown",
+    }

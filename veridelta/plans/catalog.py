@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import utc_time
-from ..operators import diagnostics, folds, metrics, models, prepare, shap, temporal, trades, trees
+from ..operators import diagnostics, figures, folds, metrics, models, prepare, shap, temporal, trades, trees
 from ..operators.folds import TrainableModel
 from ..sources.readers import attach_predictions, from_long_predictions
 from ..sources.views import EVENTS, LINEITEM, ORDERS, events_eval, lineitem_eval, orders_eval
@@ -215,6 +215,64 @@ TREES = (
 BIAS = 0.25
 
 
+def q_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return tidy(figures.histogram(lineitems(spark, sf).candidate_rows, "__error_candidate"), 5)
+
+
+def q_normal_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    return tidy(figures.normal_quantiles(orders(spark, sf).candidate_rows, "__error_candidate"), 5)
+
+
+def q_even_points(spark: SparkSession, sf: str) -> DataFrame:
+    c = orders(spark, sf)
+    return tidy(figures.even_points(c.candidate_rows, ["o_orderkey"], ["o_orderkey", "__error_candidate"]), 6)
+
+
+def q_remainder(spark: SparkSession, sf: str) -> DataFrame:
+    """Two features of each row, and the sum of the other two."""
+    found = shap.contributions(_features(spark, sf), _tree_model(), key="vec_id").withColumn("shap_value_scaled", F.round("shap_value", 9))
+    return tidy(figures.with_remainder(found, "vec_id", 2).drop("feature_value"))
+
+
+def q_positions(spark: SparkSession, sf: str) -> DataFrame:
+    """Worst cases after a filter, with their place in the whole source."""
+    c = events(spark, sf).with_positions().filter("segment", values=["click", "view"])
+    return tidy(c.candidate_diagnostics([], top_n=50)["worst_cases"].select("row_id", "source_position", "abs_error"))
+
+
+def q_trade_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """What the trade view shows and leaves out; the frequency follows the span."""
+    found = events(spark, sf).trade_diagnostics(TradeViewConfig(side_column="segment", point_view="within_entity", min_count=200))["summary"]
+    names = ["frequency", "local_dates", "calendar_span_days", "paired_rows", "timed_rows", "plotted_rows", "sampled_rows", "total_bins", "supported_bins", "empty_bins", "missing_view_rows", "missing_entity_rows", "singleton_entity_rows", "color_role"]
+    return spark.createDataFrame([tuple(found[n] for n in names)], ", ".join(f"{n} {'string' if n in ('frequency', 'color_role') else 'long'}" for n in names))
+
+
+def q_entity_focus(spark: SparkSession, sf: str) -> DataFrame:
+    c = events(spark, sf)
+    rows = trades.focused(c.rows, c.roles, TradeViewConfig(focus_entity="7"))
+    return tidy(metrics.metrics(rows, tolerance=10.0))
+
+
+def q_temporal_summary(spark: SparkSession, sf: str) -> DataFrame:
+    config = TemporalConfig("6h", min_bin_count=5, max_changes=0)
+    c = gaps(spark, sf)
+    series = temporal.clock_series(c.candidate_rows, config)
+    found = temporal.temporal_summary(c.candidate_rows, series, config, {"spectrum_status": "not asked"}, 0)
+    names = ["total_rows", "timed_rows", "missing_time_rows", "total_bins", "occupied_bins", "supported_bins", "unsupported_bins", "missing_bins", "status", "change_status"]
+    return spark.createDataFrame([tuple(found[n] for n in names)], ", ".join(f"{n} {'string' if n.endswith('status') else 'long'}" for n in names))
+
+
+def q_latest_folds(spark: SparkSession, sf: str) -> DataFrame:
+    return tidy(folds.fold_counts(events_eval(spark, sf).select("ts"), "ts", replace(DAYS, n_splits=2)))
+
+
+def q_saved_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows whose saved prediction isn't the model's, one of them missing included."""
+    rows = models.predict(_features(spark, sf), models.Model("weights", _Weights(), ("f0", "f1", "f2", "f3")), "again")
+    saved = F.when(F.col("vec_id") % 7 == 0, F.col("again") + 1).when(F.col("vec_id") % 11 == 0, None).otherwise(F.col("again"))
+    return tidy(models.inconsistent_predictions(rows.withColumn("saved", saved), "vec_id", "saved", "again"))
+
+
 def _tree_model() -> models.Model:
     return models.Model("trees", trees.TreeEnsemble(tuple(trees.from_nested(t) for t in TREES), BIAS), ("f0", "f1", "f2", "f3"), offset="target")
 
@@ -300,6 +358,20 @@ QUERIES = {
     "linear_shap": q_linear_shap,
     "tree_contributions": q_tree_contributions,
     "tree_shap": q_tree_shap,
+    "trade_audit": q_trade_audit,
+    "entity_focus": q_entity_focus,
+    "temporal_summary": q_temporal_summary,
+    "latest_folds": q_latest_folds,
+    "saved_predictions": q_saved_predictions,
+    "filter_no_condition": lambda s, d: tidy(gaps(s, d).filter("entity_id").coverage()),
+    "filter_no_values": lambda s, d: tidy(gaps(s, d).filter("entity_id", values=[], include_missing=True).coverage()),
+    "remainder": q_remainder,
+    "histogram": q_histogram,
+    "normal_quantiles": q_normal_quantiles,
+    "even_points": q_even_points,
+    "source_positions": q_positions,
+    "heatmap_grid": lambda s, d: tidy(events(s, d).grid(SEGMENT, HOURS)),
+    "significance_grid": lambda s, d: tidy(events(s, d).significance_grid(SEGMENT, HOURS)),
     "tree_residuals": q_tree_residuals,
     "local_time": q_local_time,
     "lineitem_slices": lambda s, d: tidy(lineitems(s, d).slice("l_returnflag"), 6),

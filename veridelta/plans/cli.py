@@ -31,7 +31,7 @@ def run_config(spark: SparkSession, path: str, output: str | None = None) -> Pat
         raise ValueError("an interaction has two members")
     keep = {k: cfg[k] for k in ("min_count", "metric", "include_candidate", "candidate_population", "candidate_top_n", "temporal_population", "temporal_entity") if k in cfg}
     made = {k: make(**cfg[k]) for k, make in (("inference", InferenceConfig), ("temporal", TemporalConfig), ("trades", TradeViewConfig)) if cfg.get(k)}
-    return export(c, output or str(here / cfg.get("output", "reports")), slices=[_slice(s) for s in cfg.get("slices", [])], interactions=[(_slice(a), _slice(b)) for a, b in pairs], **keep, **made)
+    return export(c, output or str(here / cfg.get("output", "reports")), slices=[_slice(s) for s in cfg["slices"]] if cfg.get("slices") is not None else None, interactions=[(_slice(a), _slice(b)) for a, b in pairs], **keep, **made)
 
 
 def demo(spark: SparkSession, n: int = 1200) -> Comparison:

@@ -9,7 +9,8 @@ from dataclasses import asdict, dataclass, field, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import diagnostics, filters, folds, inference, metrics, models, prepare, shap, temporal, trades
+from ..functions.columns import text_time_kinds
+from ..operators import diagnostics, figures, filters, folds, inference, metrics, models, prepare, shap, temporal, trades
 from ..sources.tables import discard, written
 from .config import Explanation, InferenceConfig, Roles, Slice, TemporalConfig, TradeViewConfig, WalkForwardConfig, default_slices
 
@@ -27,6 +28,7 @@ class Comparison:
     explanations: dict = field(default_factory=dict)
     prepared: DataFrame | None = None  # the evaluation rows, where prepare() has written them
     written_at: str | None = None
+    position_column: str | None = None
 
     # rows
     @property
@@ -40,7 +42,7 @@ class Comparison:
         if self.prepared is not None:
             return self
         base = prepare.base_rows(self.data, self.roles)
-        kept = set(self.data.columns) if columns is None else {c for c in [*columns, *self.predictions.values(), *self.offsets.values(), *[v for k, v in asdict(self.roles).items() if k in prepare.ROLE_COLUMNS]] if c}
+        kept = set(self.data.columns) if columns is None else {c for c in [*columns, self.position_column, *self.predictions.values(), *self.offsets.values(), *[v for k, v in asdict(self.roles).items() if k in prepare.ROLE_COLUMNS]] if c}
         table = written(base.select(*[F.col(f"`{c}`") for c in base.columns if c.startswith("__") or c in kept]), "comparison")
         return replace(self, data=table.select(*[F.col(f"`{c}`") for c in table.columns if not c.startswith("__")]), prepared=table, written_at=table.written_at)
 
@@ -113,7 +115,7 @@ class Comparison:
     def candidate_diagnostics(self, slices: list | None = None, *, population: str = "candidate", min_count: int = 30, top_n: int = 20, bins: int = 10) -> dict[str, DataFrame]:
         rows, options = self._population(population), self._options(min_count)
         specs = [metrics.as_slice(s) for s in (default_slices(self.roles) if slices is None else slices)]
-        named = [*([self.roles.id_column] if self.roles.id_column else []), *[s.column for s in specs]]
+        named = [*([self.roles.id_column] if self.roles.id_column else []), *([self.position_column] if self.position_column else []), *[s.column for s in specs]]
         out = {
             "summary": diagnostics.summary(rows, **options).withColumn("population", F.lit(population)), "calibration": diagnostics.calibration(rows, bins), "residual_quantiles": diagnostics.residual_quantiles(rows),
             "worst_cases": diagnostics.worst_cases(rows, self._key, named, top_n), "daily": diagnostics.candidate_daily(rows, **options),
@@ -129,17 +131,54 @@ class Comparison:
         changes = temporal.mean_shifts(series, config)
         summary = temporal.temporal_summary(rows, series, config, context, changes.count())
         summary |= {"population": population, "entity_filter": entity, "entities_in_population": rows.select("__entity").where("__entity IS NOT NULL").distinct().count()}
-        return {"summary": summary, "series": series, "autocorrelation": temporal.autocorrelation(series, config), "spectrum": spectrum, "change_points": changes, "event_lags": temporal.event_lags(rows, config.max_lag, config.signal), "guide": temporal.reading_guide(summary)}
+        lags, events = temporal.autocorrelation(series, config), temporal.event_lags(rows, config.max_lag, config.signal)
+        return {"summary": summary, "series": series, "autocorrelation": lags, "spectrum": spectrum, "change_points": changes, "event_lags": events, "guide": temporal.reading_guide(summary, lags, events)}
 
     def trade_diagnostics(self, config: TradeViewConfig | None = None) -> dict:
         config = config or TradeViewConfig()
         rows = trades.focused(self.rows, self.roles, config)
         frequency, dates, span = trades.auto_frequency(rows, config.frequency)
-        points = trades.sampled_points(trades.view_coordinates(rows, config, self.roles.error_scale), self._key, config)
-        audit = trades.entity_audit(rows).first().asDict() | {"frequency": frequency, "local_dates": dates, "calendar_span_days": span, "point_view": config.point_view, "focus_entity": config.focus_entity}
-        return {"summary": audit, "intraday": trades.intraday(rows, self.roles, config, frequency), "points": points, "settings": asdict(config)}
+        placed = trades.view_coordinates(rows, config, self.roles.error_scale)
+        points, bins = trades.sampled_points(placed, self._key, config), trades.intraday(rows, self.roles, config, frequency)
+        audit = trades.view_audit(self.rows, placed, points, bins, self.roles, config) | {"frequency": frequency, "local_dates": dates, "calendar_span_days": span}
+        return {"summary": audit, "intraday": bins, "points": points, "settings": asdict(config)}
+
+    # tables behind the figures
+    def grid(self, x: str | Slice, y: str | Slice, value: str = "mae_delta", **options) -> DataFrame:
+        """One of cross_slice's columns as a grid."""
+        return figures.label_grid(self.cross_slice(x, y, **options), value)
+
+    def significance_grid(self, x: str | Slice, y: str | Slice, value: str = "t_statistic", config: InferenceConfig | None = None, min_count: int = 30) -> DataFrame:
+        return figures.label_grid(self.cross_slice_test(x, y, config, min_count), value)
+
+    def figure_tables(self, *, population: str = "candidate", bins: int = 10) -> dict[str, DataFrame]:
+        """Histogram, calibration, normal quantiles and, where rows have ids, evenly spaced points of the candidate's errors."""
+        rows = self._population(population)
+        out = {"histogram": figures.histogram(rows, "__error_candidate"), "calibration": diagnostics.calibration(rows, bins), "normal_quantiles": figures.normal_quantiles(rows, "__error_candidate")}
+        if self.roles.id_column:
+            out["points"] = figures.even_points(rows, [self.roles.id_column], ["__candidate", "__error_candidate", "__ae_candidate"])
+        return out
 
     # populations and models
+    def with_positions(self, name: str = "source_position") -> Comparison:
+        """The same with each source row's place in the order of its id, from 0, as a column: it stays a row's own through
+        filters and other pairs, and cases, worst cases and explanations carry it."""
+        if not self.roles.id_column:
+            raise ValueError("map the id column first")
+        if name in self.data.columns:
+            raise ValueError(f"data has a column {name} already")
+        placed = temporal.numbered(self.data, [self.roles.id_column], name)
+        return replace(self, data=placed, prepared=None, position_column=name, explanations={})
+
+    def worst_keys(self, model: str | None = None, *, population: str = "paired", limit: int = 20) -> list:
+        """The ids of the rows that a model's saved predictions miss most, for shap_values(keys=...): limit at most."""
+        name = model or self.roles.candidate_name
+        if name not in self.predictions or not self.roles.id_column:
+            raise ValueError("name one of the predictions, and map the id column")
+        c = self if name == self.roles.candidate_name else self.select_models(self.roles.candidate_name, name)
+        rows = c.candidate_rows if population == "candidate" else c.rows
+        return [r[0] for r in rows.orderBy(F.desc("__ae_candidate"), *c._key).limit(limit).select(F.col(f"`{self.roles.id_column}`")).collect()]
+
     def filter(self, column: str, **options) -> Comparison:
         """Fewer rows of the source; conditions add up, explanations of the larger population go."""
         keep = self.data.where(filters.condition(self.data, column, **options))
@@ -167,18 +206,27 @@ class Comparison:
             raise ValueError(f"{name}: the model's offset isn't the comparison's")
         return name, fitted, self._population(population)
 
+    def _explains(self, kind: str, name: str, out: Explanation, population: str) -> Explanation:
+        """Tables with a row's id get its place in the source, too; the settings say what was explained."""
+        key, place = self.roles.id_column, self.position_column
+        if place:
+            places = self.data.select(F.col(f"`{key}`").alias("__id"), F.col(f"`{place}`"))
+            out.tables = {n: t.join(places, F.col(f"`{key}`").eqNullSafe(F.col("__id"))).drop("__id") if key in t.columns else t for n, t in out.tables.items()}
+        out.settings |= {"population": population, "filters": list(self.filters), "unit": self.roles.unit, "record_id_column": key}
+        self.explanations[f"{kind}:{name}"] = out
+        return out
+
     def permutation_importance(self, model: str | None = None, *, population: str = "paired", **options) -> Explanation:
+        """On the comparison's own rows; the model must still give the predictions that were compared."""
         name, fitted, rows = self._fitted_rows(model, population)
         out = models.permutation_importance(rows, self.roles.actual, fitted, key=self.roles.id_column, error_scale=self.roles.error_scale, **options)
-        self.explanations[f"permutation:{name}"] = out
-        return out
+        return self._explains("permutation", name, out, population)
 
     def shap_values(self, model: str | None = None, *, population: str = "candidate", **options) -> Explanation:
         """TreeSHAP of a fitted model of this comparison, on its own rows."""
         name, fitted, rows = self._fitted_rows(model, population)
         out = shap.tree_shap(rows, fitted, key=self.roles.id_column, actual=self.roles.actual, error_scale=self.roles.error_scale, **options)
-        self.explanations[f"shap:{name}"] = out
-        return out
+        return self._explains("shap", name, out, population)
 
     def fingerprint(self) -> str:
         """SHA-256 of the schema and an order-free sum of row hashes: it does not depend on row order or partitioning."""
@@ -193,6 +241,10 @@ def compare_predictions(data: DataFrame, actual: str, reference: str, candidate:
         from ..sources.readers import check_key
 
         check_key(data, [r.id_column], "data")
+    if r.time_column and check and dict(data.dtypes).get(r.time_column) == "string":
+        zoned, local = (F.count_if(x) for x in text_time_kinds(r.time_column))
+        if all(data.agg(zoned, local).first()):
+            raise ValueError(f"{r.time_column} mixes times with a zone and local times")
     names = {r.reference_name: reference, r.candidate_name: candidate}
     return Comparison(data, r, predictions=names, offsets={r.reference_name: r.reference_offset, r.candidate_name: r.candidate_offset})
 

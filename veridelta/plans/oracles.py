@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .catalog import BIAS, TREES, WEIGHTS
+from .config import HOUR_LABELS
 
 EV = """ev AS (SELECT event_id AS row_id, ts, CAST(user_id AS varchar) AS entity_id, event_type AS segment, value AS actual,
  lag(value, 1) OVER w AS prediction_a, avg(value) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS prediction_b
@@ -168,6 +169,15 @@ def shifts(least: int, penalty: float, most: int) -> str:
  FROM ({' UNION ALL '.join(f'SELECT * FROM ok{j}' for j in range(1, most + 1))}) f JOIN z l ON l.i = f.k - 1 JOIN z r ON r.i = f.k, price"""
 
 
+LINEITEMS = f"""ev AS (SELECT l_suppkey, l_extendedprice, l_returnflag, l_shipdate, l_quantity * p_retailprice AS prediction_a, avg(l_extendedprice) OVER (PARTITION BY l_returnflag) AS prediction_b FROM lineitem JOIN part ON l_partkey = p_partkey),
+ {errors(actual='l_extendedprice', time='l_shipdate', entity='l_suppkey')}"""
+ORDERED = f"""ev AS (SELECT *, avg(o_totalprice) OVER (PARTITION BY o_orderstatus) AS prediction_a, avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prediction_b FROM orders),
+ {errors(actual='o_totalprice', time='o_orderdate', entity='o_custkey')}"""
+#: The normal quantile of p by Newton's steps; the distribution is its power series.
+NORMAL = "z0 AS (SELECT p, greatest(-2.0, least(2.0, ln(p / (1 - p)) / 1.6)) AS x FROM p), " + ", ".join(
+    f"z{i + 1} AS (SELECT p, x - (0.5 + exp(-x * x / 2) / sqrt(2 * pi()) * x * list_sum(list_transform(range(80), lambda k: pow(x * x, k) * exp(0.5 * ln(pi()) - (k + 1) * ln(2) - lgamma(k + 1.5)))) - p) / (exp(-x * x / 2) / sqrt(2 * pi())) AS x FROM z{i})" for i in range(8)
+)
+
 ORACLE_SQL = {
     "coverage": gap_coverage(),
     "paired_summary": summary(),
@@ -243,6 +253,28 @@ ORACLE_SQL = {
     "tree_contributions": f"WITH {SHAPLEY} SELECT vec_id, 'f' || f AS feature, {r('shap_value', 'shap_value')}, (SELECT {r('max(e)', 'e')} FROM known WHERE s = 0) AS base_value FROM shap",
     "tree_shap": f"WITH {SHAPLEY} SELECT 'f' || f AS feature, {r('2 * avg(abs(shap_value))', 'mean_abs_shap')}, {r('2 * avg(shap_value)', 'mean_signed_shap')}, count(*) AS n FROM shap GROUP BY f",
     "tree_residuals": f"WITH {SHAPLEY}, worst AS (SELECT vec_id FROM known WHERE s = 15 ORDER BY abs(e - 0.5) DESC, vec_id LIMIT 15) SELECT vec_id, 'f' || f AS feature, {r('shap_value', 'shap_value')}, {r('shap_value', 'shap_value_scaled')} FROM shap JOIN worst USING (vec_id)",
+    "trade_audit": f"""WITH {EV}, {errors()}, n AS (SELECT count(*) AS n, count(DISTINCT d) AS days, date_diff('day', min(CAST(ts AS DATE)), max(CAST(ts AS DATE))) + 1 AS span FROM paired),
+ f AS (SELECT *, CASE WHEN span <= 3 THEN '30min' WHEN span <= 14 THEN '1h' ELSE '1D' END AS f, CASE WHEN span <= 3 THEN 1800000000 WHEN span <= 14 THEN 3600000000 ELSE 86400000000 END AS w FROM n), b AS (SELECT epoch_us(ts) // w AS b, count(*) AS k FROM paired, f GROUP BY 1), e AS (SELECT e, count(*) AS k FROM paired GROUP BY 1)
+ SELECT f AS frequency, days AS local_dates, span AS calendar_span_days, n AS paired_rows, n AS timed_rows, least(n, 2000) AS plotted_rows, least(n, 2000) AS sampled_rows, (SELECT max(b) - min(b) + 1 FROM b) AS total_bins, (SELECT count(*) FROM b WHERE k >= 200) AS supported_bins, (SELECT max(b) - min(b) + 1 - count(*) FROM b) AS empty_bins,
+ 0::BIGINT AS missing_view_rows, 0::BIGINT AS missing_entity_rows, (SELECT count(*) FROM e WHERE k = 1) AS singleton_entity_rows, 'side' AS color_role FROM f""",
+    "entity_focus": summary("e = '7'"),
+    "temporal_summary": f"""WITH {GAP}, {GAP_ERRORS}, b AS (SELECT epoch_us(ts) // 21600000000 AS b, count(*) AS k FROM candidate GROUP BY 1), s AS (SELECT max(b) - min(b) + 1 AS total, count(*) AS occupied, count(*) FILTER (k >= 5) AS supported FROM b)
+ SELECT (SELECT count(*) FROM candidate) AS total_rows, (SELECT count(ts) FROM candidate) AS timed_rows, 0::BIGINT AS missing_time_rows, total AS total_bins, occupied AS occupied_bins, supported AS supported_bins, occupied - supported AS unsupported_bins, total - occupied AS missing_bins, CASE WHEN supported > 0 THEN 'ok' ELSE 'no_supported_bins' END AS status, 'disabled' AS change_status FROM s""",
+    "latest_folds": folds("ts").replace("coalesce(l < v0, false)", "true").replace("plan AS (SELECT row_number() OVER (ORDER BY s) AS fold, s FROM starts)", "plan AS (SELECT row_number() OVER (ORDER BY s) AS fold, s FROM (SELECT s FROM starts ORDER BY s DESC LIMIT 2))"),
+    "saved_predictions": f"WITH {FEATURES}, p AS (SELECT vec_id, {' + '.join(f'f{i} * ({w})' for i, w in enumerate(WEIGHTS))} AS p FROM f) SELECT vec_id, {r('CASE WHEN vec_id % 7 = 0 THEN p + 1 END', 'saved')}, {r('p', 'again')} FROM p WHERE vec_id % 7 = 0 OR vec_id % 11 = 0",
+    "filter_no_condition": gap_coverage("entity_id IS NOT NULL"),
+    "filter_no_values": gap_coverage("entity_id IS NULL"),
+    "remainder": f"""WITH {SHAPLEY}, k AS (SELECT vec_id, 'f' || f AS feature, round(shap_value, 9) AS v FROM shap), o AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY abs(v) DESC, feature) AS rank FROM k)
+ SELECT vec_id, rank, feature, {r('v', 'shap_value_scaled')} FROM o WHERE rank <= 2 UNION ALL SELECT vec_id, 3, 'Other 2 features', {r('sum(v)', 'shap_value_scaled')} FROM o WHERE rank > 2 GROUP BY vec_id""",
+    "histogram": f"""WITH {LINEITEMS}, m AS (SELECT count(*) AS n, min(ec) AS lo, max(ec) AS hi, least(50, greatest(1, floor(sqrt(count(*)))::INT)) AS bins FROM candidate), edge AS (SELECT i AS bin, lo + (hi / bins - lo / bins) * i AS l, CASE WHEN i = bins - 1 THEN hi ELSE lo + (hi / bins - lo / bins) * (i + 1) END AS up, bins FROM m, range(50) q(i) WHERE i < bins)
+ SELECT bin, {r('any_value(l)', '"left"', 5)}, {r('any_value(up)', '"right"', 5)}, count(ec) AS n FROM edge LEFT JOIN candidate ON ec >= l AND (ec < up OR (bin = bins - 1 AND ec = up)) GROUP BY bin""",
+    "normal_quantiles": f"""WITH {ORDERED}, p AS (SELECT (i + 0.5) / 500 AS p FROM range(500) x(i)), {NORMAL}, n AS (SELECT quantile_cont(ec, [0.25, 0.5, 0.75]) AS q, quantile_cont(ec, {[(i + 0.5) / 500 for i in range(500)]}) AS o FROM candidate)
+ SELECT {r('p', 'probability', 5)}, {r('x', 'theoretical', 5)}, {r('o[row_number() OVER (ORDER BY p)]', 'observed', 5)}, {r('q[2] + (q[3] - q[1]) / (2 * 0.6744897501960817) * x', 'reference', 5)} FROM z8, n""",
+    "even_points": f"""WITH {ORDERED}, c AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS position, count(*) OVER () AS n, o_orderkey, ec FROM candidate), w AS (SELECT DISTINCT CASE WHEN i = m - 1 THEN n - 1 ELSE floor(i * ((n - 1) / (m - 1)::DOUBLE))::BIGINT END AS position FROM (SELECT max(n) AS n, least(max(n), 3000) AS m FROM c), range(3000) x(i) WHERE i < m)
+ SELECT position, o_orderkey, {r('ec', 'error_candidate', 6)} FROM c JOIN w USING (position)""",
+    "source_positions": f"WITH {EV}, numbered AS (SELECT *, row_number() OVER (ORDER BY row_id) - 1 AS source_position FROM ev), {errors('numbered')} SELECT row_id, source_position, {r('aec', 'abs_error')} FROM candidate WHERE segment IN ('click', 'view') ORDER BY aec DESC, row_id LIMIT 50",
+    "heatmap_grid": f"WITH {EV}, {errors()}, c AS (SELECT segment AS x, {HOUR} AS y, avg(aec) - avg(aer) AS v FROM paired GROUP BY 1, 2) SELECT x, " + ", ".join(r(f"max(v) FILTER (y = '{h}')", f'"{h}"') for h in HOUR_LABELS) + " FROM c GROUP BY x",
+    "significance_grid": f"WITH t AS ({tests([('x', 'segment'), ('y', HOUR)])}) SELECT x, " + ", ".join(f"max(t_statistic) FILTER (y = '{h}') AS \"{h}\"" for h in HOUR_LABELS) + " FROM t GROUP BY x",
     "lineitem_slices": f"""WITH ev AS (SELECT l_suppkey, l_extendedprice, l_returnflag, l_shipdate, l_quantity * p_retailprice AS prediction_a, avg(l_extendedprice) OVER (PARTITION BY l_returnflag) AS prediction_b FROM lineitem JOIN part ON l_partkey = p_partkey),
  {errors(actual='l_extendedprice', time='l_shipdate', entity='l_suppkey')} SELECT l_returnflag AS "group", {metrics(1000.0, 6)} FROM paired GROUP BY 1""",
     "orders_dates": f"""WITH ev AS (SELECT *, avg(o_totalprice) OVER (PARTITION BY o_orderstatus) AS prediction_a, avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prediction_b FROM orders),
