@@ -279,7 +279,7 @@ def test_trie_counts(docs, none, rows):
 def test_licenses(spark):
     from veridelta.llm import licenses as L
 
-    mit, gpl = L.TEMPLATES["MIT"], L.TEMPLATES["GPL-3.0"]
+    mit, gpl = L.TEMPLATES["MIT"][0], L.TEMPLATES["GPL-3.0"][0]
     rows = [
         (1, "https://a.org/lib/LICENSE", f"<p>Readme<br>{mit.upper()}</p>"), (2, "http://a.org/lib/src/x.html?q=1", "<p>code</p>"), (3, "a.org/other/y", "<!-- " + mit + " -->"), (4, "a.org/z", f"<script>{mit}</script><div>{gpl}</div>"),
         (5, None, mit), (6, "b.org/q", None), (6, "b.org/q", None), (7, "", ""), (8, "a.org/lib/w", "nothing under license"),
@@ -291,6 +291,33 @@ def test_licenses(spark):
     assert L.license_scan(df.limit(0)).count() == 0
 
 
+def test_license_headers_and_texts(spark, tmp_path):
+    """Notices that wrap, file headers and license files of several paragraphs; names and years added, words left out."""
+    import textwrap
+
+    from oracle import connect, differences
+    from veridelta.llm import licenses as L
+
+    wrap = lambda t, n=60: chr(10).join(textwrap.wrap(t, n))
+    full = {k: max(t, key=len) for k, t in L.TEMPLATES.items()}
+    paragraphs = lambda t: "".join(f"<p>{wrap(x)}</p>" for x in t.split(". "))
+    want = {}
+    pages = []
+    for n, (k, t) in enumerate(sorted(full.items())):
+        for m, html in enumerate((wrap(t, 40), f"<html><body><h1>{k} license</h1><p>Copyright (c) 2020 A. Author</p>{paragraphs(t)}</body></html>", f"<pre>#!/bin/sh</pre><pre>{wrap(t.replace(' the ', ' ', 1), 70)}</pre><p>code follows here, and more of it than one would like to read</p>", t.upper())):
+            pages.append((10 * n + m, f"h{n}{m}.org/x", html))
+            want[10 * n + m] = k
+    del want[10 * sorted(full).index("CC-BY-NC-4.0") + 1], want[10 * sorted(full).index("CC-BY-NC-4.0") + 2]  # a sentence of six words cut at "4.0"
+    pages += [(900, "o.org/a", "the software is provided with merchantability " * 40), (901, "o.org/b", "x" * 100_000 + "\n\n \n\n"), (902, "o.org/c", "\n" * 5000)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    found = {r.page_id: r for r in L.license_scan(df).collect()}
+    assert {p: found[p].own_license for p in want} == want and all(found[p].own_license is None for p in (900, 901, 902))
+    df.write.parquet(str(tmp_path / "pages.parquet"))
+    con = connect("/root/testdata/sf0.001")
+    con.execute(f"CREATE OR REPLACE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert differences(L.op9_licenses(spark, str(tmp_path)).toPandas(), con.execute(L.oracle_sql()).fetchdf()) == []
+
+
 def test_licenses_sql(spark, sf_dir):
     from oracle import connect, differences
     from veridelta.llm import licenses as L
