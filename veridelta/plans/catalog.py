@@ -220,7 +220,11 @@ def q_histogram(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_normal_quantiles(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(figures.normal_quantiles(orders(spark, sf).candidate_rows, "__error_candidate"), 5)
+    """In units of the reference line's slope, a robust deviation."""
+    table = figures.normal_quantiles(orders(spark, sf).candidate_rows, "__error_candidate")
+    slope = table.agg(((F.max("reference") - F.min("reference")) / (F.max("theoretical") - F.min("theoretical"))).alias("slope"))
+    both = table.crossJoin(F.broadcast(slope)).withColumns({c: F.col(c) / F.col("slope") for c in ("observed", "reference")})  # one row
+    return tidy(both.drop("slope"), 8)
 
 
 def q_even_points(spark: SparkSession, sf: str) -> DataFrame:

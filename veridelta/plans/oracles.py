@@ -269,7 +269,7 @@ ORACLE_SQL = {
     "histogram": f"""WITH {LINEITEMS}, m AS (SELECT count(*) AS n, min(ec) AS lo, max(ec) AS hi, least(50, greatest(1, floor(sqrt(count(*)))::INT)) AS bins FROM candidate), edge AS (SELECT i AS bin, lo + (hi / bins - lo / bins) * i AS l, CASE WHEN i = bins - 1 THEN hi ELSE lo + (hi / bins - lo / bins) * (i + 1) END AS up, bins FROM m, range(50) q(i) WHERE i < bins)
  SELECT bin, {r('any_value(l)', '"left"', 5)}, {r('any_value(up)', '"right"', 5)}, count(ec) AS n FROM edge LEFT JOIN candidate ON ec >= l AND (ec < up OR (bin = bins - 1 AND ec = up)) GROUP BY bin""",
     "normal_quantiles": f"""WITH {ORDERED}, p AS (SELECT (i + 0.5) / 500 AS p FROM range(500) x(i)), {NORMAL}, n AS (SELECT quantile_cont(ec, [0.25, 0.5, 0.75]) AS q, quantile_cont(ec, {[(i + 0.5) / 500 for i in range(500)]}) AS o FROM candidate)
- SELECT {r('p', 'probability', 5)}, {r('x', 'theoretical', 5)}, {r('o[row_number() OVER (ORDER BY p)]', 'observed', 5)}, {r('q[2] + (q[3] - q[1]) / (2 * 0.6744897501960817) * x', 'reference', 5)} FROM z8, n""",
+ SELECT {r('p', 'probability', 8)}, {r('x', 'theoretical', 8)}, {r('o[row_number() OVER (ORDER BY p)] / ((q[3] - q[1]) / (2 * 0.6744897501960817))', 'observed', 8)}, {r('q[2] / ((q[3] - q[1]) / (2 * 0.6744897501960817)) + x', 'reference', 8)} FROM z8, n""",
     "even_points": f"""WITH {ORDERED}, c AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS position, count(*) OVER () AS n, o_orderkey, ec FROM candidate), w AS (SELECT DISTINCT CASE WHEN i = m - 1 THEN n - 1 ELSE floor(i * ((n - 1) / (m - 1)::DOUBLE))::BIGINT END AS position FROM (SELECT max(n) AS n, least(max(n), 3000) AS m FROM c), range(3000) x(i) WHERE i < m)
  SELECT position, o_orderkey, {r('ec', 'error_candidate', 6)} FROM c JOIN w USING (position)""",
     "source_positions": f"WITH {EV}, numbered AS (SELECT *, row_number() OVER (ORDER BY row_id) - 1 AS source_position FROM ev), {errors('numbered')} SELECT row_id, source_position, {r('aec', 'abs_error')} FROM candidate WHERE segment IN ('click', 'view') ORDER BY aec DESC, row_id LIMIT 50",
