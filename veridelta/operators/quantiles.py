@@ -47,15 +47,17 @@ def quantiles(rows: DataFrame, keys: list[str], wanted: dict[str, tuple[str, lis
     long = rows.select(*keys, each.alias("z")).select(*keys, F.col("z.c").alias("c"), F.col("z.v").alias("v")).where("v IS NOT NULL")
     group = [*keys, "c"]
     whole = W.partitionBy(*group)
-    cells = long.groupBy(*group, _range(F.col("v")).alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    # no group has more than FEW rows if all have not: then values are counted at once
+    direct = rows.count() <= FEW
+    cells = long.groupBy(*group, (F.col("v") if direct else _range(F.col("v"))).alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     cells = cells.withColumns({"before": F.sum("n").over(whole.orderBy("b").rowsBetween(W.unboundedPreceding, 0)) - F.col("n"), "total": F.sum("n").over(whole)})
     at = lambda p: p * (F.col("total") - 1)
     here = F.filter(F.element_at(levels, F.col("c") + 1), lambda z: (F.ceil(at(z["p"])) >= F.col("before")) & (F.floor(at(z["p"])) < F.col("before") + F.col("n")))
     ranks = F.flatten(F.transform(here, lambda z: F.array(*[F.struct(z["i"].alias("i"), F.lit(s).alias("side"), f(at(z["p"])).cast("long").alias("k"), (at(z["p"]) - F.floor(at(z["p"]))).alias("part")) for s, f in ((0, F.floor), (1, F.ceil))])))
     inside = F.filter(ranks, lambda r: (r["k"] >= F.col("before")) & (r["k"] < F.col("before") + F.col("n")))
     state = cells.select(*group, "n", "lo", "hi", "before", F.explode(inside).alias("r")).select(*group, "r.i", "r.side", "r.part", (F.col("r.k") - F.col("before")).alias("k"), "n", "lo", "hi")
-    done = []
-    while True:
+    done = [state.withColumn("v", F.col("lo"))] if direct else []
+    while not direct:
         # a row for each group, column, level and side; small enough to broadcast only if its files are
         state = written(state, "ranks")
         known = (F.col("lo") == F.col("hi")) | (F.col("k") == 0) | (F.col("k") == F.col("n") - 1)
