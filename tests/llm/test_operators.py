@@ -246,6 +246,62 @@ def test_near_passages(spark):
     assert found[0] == 0 and min(found[i] for i in range(1, 90)) >= 190
 
 
+def test_a_long_chain_of_near_passages(spark):
+    from veridelta.llm import passages as S
+
+    # each variant is similar to the ones just before it only
+    core, drift, rows = [f"core{i}" for i in range(20)], [f"d{i}" for i in range(40)], []
+    for i in range(320):
+        drift[i % 40] = f"v{i}"
+        rows.append((i, " ".join([f"x{i}a{k}" for k in range(10)] + drift[:20] + core + drift[20:] + [f"x{i}b{k}" for k in range(10)])))
+    found = S.near_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(r.doc_id for r in found if r.away_starts) == list(range(1, 320))
+
+
+def test_meetings_of_places():
+    import numpy as np
+
+    from veridelta.llm import near_passages as N
+
+    n, names = 40, ["a", "b", "c"]
+    places = np.column_stack([np.arange(n), np.full(n, 100), np.full(n, 3 | 5 << 8 | 9 << 16)]).astype(np.int32)
+    args = (np.arange(n) % 3, np.full(n, 7, np.uint64), np.arange(n).astype(np.uint64), np.arange(n))
+    pairs = lambda table: {
+        (r["chunk"], others[w], int(p[0]), int(p[3]))
+        for r in table.to_pylist() if r["kind"] == 1
+        for others in [r["other"].split("\n")]
+        for w, p in zip(N.large([r["counts"]], "<i4"), N.large([r["starts"]], "<i4", 6), strict=True)
+    }
+    first = N.meet(0, names, *args, places, 32, 46)
+    assert pairs(first) == {(names[i % 3], names[j % 3], i, j) for i in range(n) for j in range(min(i, 32))}
+    assert first.num_rows == 6  # a row for each chunk that asks, and one for each that goes on
+    # of the eight that go on all but the last are away: it meets them too
+    places[32:39, 2] |= N.AWAY
+    again = N.meet(0, names, *[x[32:] for x in args], places[32:], 256, 46)
+    assert pairs(again) == {(names[39 % 3], names[j % 3], 39, j) for j in range(32, 39)}
+    # once none is open, none goes on
+    places[:, 2] |= N.AWAY
+    assert N.meet(0, names, *args, places, 32, 46).num_rows == 0
+
+
+def test_similarity_of_short_and_long_passages():
+    import numpy as np
+
+    from veridelta.llm import near_passages as N
+
+    rng = np.random.default_rng(3)
+    flat = rng.integers(0, 60, 30_000).astype(np.uint64)
+    x, y, n, m = (rng.integers(a, b, 300) for a, b in ((0, 14_000), (15_000, 29_000), (2, 90), (2, 90)))
+    n[:3], m[:3] = 14_000, 900
+    flat[15_000:29_000][::3] = flat[:14_000][::3]
+    want = []
+    for i, j, v, w in zip(x, y, n, m, strict=True):
+        a, b = flat[i : i + v], flat[j : j + w]
+        p, q = set(a.tolist()), set(b.tolist())
+        want.append(100 * len(p & q) >= 75 * len(p | q) and {int(a[0]), int(a[-1])} <= q and {int(b[0]), int(b[-1])} <= p)
+    assert N.similar(flat, x, n, y, m).tolist() == want and any(want) and not all(want)
+
+
 def test_stages_on_repeated_ids(spark):
     from veridelta.llm import ngram_join as J
     from veridelta.llm import passages as S
