@@ -374,6 +374,38 @@ def test_license_headers_and_texts(spark, tmp_path):
     assert differences(L.op9_licenses(spark, str(tmp_path)).toPandas(), con.execute(L.oracle_sql()).fetchdf()) == []
 
 
+def test_licenses_without_any_one_word(spark):
+    """Whatever word of a template is left out: a unit that still reaches COSINE is found, in one line, in a block and as a page of several paragraphs."""
+    import math
+    from collections import Counter
+
+    from veridelta.llm import licenses as L
+
+    def cosine(words, k):
+        x = {w: (1 + math.log(n)) * L.IDF.get((L._KIND[k], w), L.OTHER[L._KIND[k]]) for w, n in Counter(words).items()}
+        return sum(x.get(w, 0) * y for w, y in L._WEIGHT[k].items()) / (math.hypot(*x.values()) * L._NORM[k])
+
+    pages, want = [], {}
+    for (spdx, i), words in ((k, L._tokens(L.TEMPLATES[k[0]][k[1]])) for k in L._WEIGHT):
+        anchors = {*L.ANCHORS, *L.TEXT_ANCHORS} & {*words}
+        for left_out in [{w} for w in sorted({*words})] + [anchors] * bool(anchors):
+            kept = [w for w in words if w not in left_out]
+            if cosine(kept, (spdx, i)) < L.COSINE:
+                continue
+            half = len(kept) // 2
+            forms = [" ".join(kept), " ".join(kept[:half]) + "\n" + " ".join(kept[half:])]
+            if {*L.TEXT_ANCHORS} & {*words}:
+                forms.append(" ".join(kept[:half]) + "\n\n" + " ".join(kept[half:]))
+            for html in forms if anchors & left_out else forms[:1]:
+                want[len(pages)] = spdx
+                pages.append((len(pages), f"h{len(pages)}.org/x", html))
+    n = len(pages)
+    pages.append((n, "i.org/x", "<p>Released under the <b>M</b>I<i>T</i> L<b>icense</b>. R<b>e</b>leased under the <i>MI</i>T licens<b>e</b>.</p>".replace("Released", "Rel<b></b>eased")))
+    want[n] = "MIT"
+    found = {r.page_id: r.own_license for r in L.license_scan(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)).collect()}
+    assert n > 400 and {p: (found[p], want[p], pages[p][2]) for p in want if found[p] != want[p]} == {}
+
+
 def test_licenses_sql(spark, sf_dir):
     from oracle import connect, differences
     from veridelta.llm import licenses as L
