@@ -572,3 +572,22 @@ def test_stages_with_clashing_columns(spark, tmp_path):
         kept = stage(spark, df, str(tmp_path))
         assert kept.columns == df.columns and kept.count() >= 4
         assert stage(spark, df.limit(0), str(tmp_path)).count() == 0
+
+
+def test_memory_of_a_block_of_the_join(monkeypatch):
+    """The rows of wide columns are counted so many entries at once; links are those of all pairs."""
+    import tracemalloc
+
+    from veridelta.llm import ngram_join as J
+
+    monkeypatch.setattr(J, "ENTRIES_AT_ONCE", 50_000, raising=False)
+    rng = np.random.default_rng(3)
+    sets = [np.sort(rng.choice(8000, 5000, replace=False)).astype(np.uint64) for _ in range(120)]
+    sets += [np.unique(np.r_[s[:4800], s[4800:] + np.uint64(9000)]) for s in sets[:3]]
+    docs, sizes = np.arange(len(sets)), np.array([len(s) for s in sets])
+    tracemalloc.start()
+    pairs = J.linked(docs, sizes, sets)
+    peak = tracemalloc.get_traced_memory()[1] / sum(sizes)
+    tracemalloc.stop()
+    assert sorted(sorted(p) for p in pairs) == [[0, 120], [1, 121], [2, 122]]
+    assert peak < 45  # bytes an entry

@@ -39,6 +39,8 @@ PERCENT = 75
 BLOCK_ENTRIES = 1_000_000
 #: Rows and n-grams of a chunk of a large coarse component.
 CHUNK_ROWS, CHUNK_ENTRIES = 3000, 1_500_000
+#: Entries of a block whose rows are counted at once.
+ENTRIES_AT_ONCE = 500_000
 _LOW48 = np.uint64((1 << 48) - 1)
 _PACKED = "bucket int, n_docs int, head binary, grams binary"
 _PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("n_docs", pa.int32()), ("head", pa.binary()), ("grams", pa.binary())])
@@ -224,6 +226,16 @@ def _coarse_links(percent: int):
     return run
 
 
+def _overlaps(rows: np.ndarray, start: np.ndarray, width: np.ndarray, m: int) -> np.ndarray:
+    """How often each of m rows is in the columns rows[start : start + width], so many entries at once."""
+    out, total, i = np.zeros(m, np.int64), np.r_[0, np.cumsum(width)], 0
+    while i < len(width):
+        j = max(i + 1, int(np.searchsorted(total, total[i] + ENTRIES_AT_ONCE, side="right")) - 1)
+        out += np.bincount(rows[ragged(start[i:j], width[i:j])], minlength=m)
+        i = j
+    return out
+
+
 def linked(docs: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
     """A forest of the links among the documents: the rows of the sparse product of their incidence matrix with its
     transpose, each only for partners that fit in size and aren't connected with it yet."""
@@ -248,15 +260,18 @@ def linked(docs: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], percent:
                 join(i, j)
     counts = np.array([len(s) for s in sets])
     flat = np.concatenate(sets) if m else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(m), counts)
-    order = np.argsort(flat, kind="stable")
-    new = np.r_[True, flat[order][1:] != flat[order][:-1]] if len(flat) else np.zeros(0, bool)
-    column = np.empty(len(flat), dtype=np.int64)
-    column[order] = np.cumsum(new) - 1
+    first = np.cumsum(counts) - counts
+    sets = [flat[a:b] for a, b in zip(first, first + counts, strict=True)]  # the copies go
+    order = np.argsort(flat, kind="stable").astype(np.int32)
+    ordered = flat[order]
+    new = np.r_[True, ordered[1:] != ordered[:-1]] if len(flat) else np.zeros(0, bool)
+    del ordered
+    column = np.empty(len(flat), dtype=np.int32)
+    column[order] = np.cumsum(new, dtype=np.int32) - 1
     start = np.flatnonzero(new)
     width = np.diff(np.r_[start, len(flat)])
-    rows = owner[order]
-    first = np.cumsum(counts) - counts
+    rows = np.repeat(np.arange(m, dtype=np.int32), counts)[order]
+    del order, new
     top = np.searchsorted(sizes * percent, sizes * 100, side="right")  # partners beyond are too large
     for i in range(m):
         rest = np.flatnonzero(root[i + 1 : top[i]] != root[i]) + i + 1
@@ -266,7 +281,7 @@ def linked(docs: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], percent:
         if len(rest) * counts[i] * 4 < width[own].sum():
             overlap = np.array([np.isin(sets[j], sets[i], assume_unique=True).sum() for j in rest])
         else:
-            overlap = np.bincount(rows[ragged(start[own], width[own])], minlength=m)[rest]
+            overlap = _overlaps(rows, start[own], width[own], m)[rest]
         for j in rest[100 * overlap >= percent * (sizes[i] + sizes[rest] - overlap)]:
             join(i, j)
     return out
